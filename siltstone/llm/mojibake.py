@@ -89,9 +89,7 @@ def _by_run(text: str, wrong: str, intended: str) -> str:
     return _SPLIT.sub(one, text)
 
 
-_HANGUL#: Letters that no text of the catalog holds: two proper signs in a row may happen to decode to one.
-_NEVER = re.compile(r"[\u0180-\u0191\u0193-\u02af\u0530-\u10ff]")
-_SPLIT = re.compile(r"[^\u1100-\u11ff\u3130-\u318f\uac00-\ud7a3\ufffd]+")
+_HANGUL_SPLIT = re.compile(r"[^\u1100-\u11ff\u3130-\u318f\uac00-\ud7a3\ufffd]+")
 
 
 def _by_stretch(text: str, wrong: str, intended: str) -> str:
