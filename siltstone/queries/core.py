@@ -5,6 +5,60 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.operators import snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+SNAPSHOT_SQL = """
+with held as (
+  select snapshot_no, nfc_normalize(replace(relative_path, '\\', '/')) as relative_path, sha256, mtime_ns
+  from catalog_entries where snapshot_no is not null and relative_path is not null
+  qualify row_number() over (partition by snapshot_no, nfc_normalize(replace(relative_path, '\\', '/')) order by delivered_at desc nulls last, sha256 desc nulls last, mtime_ns desc nulls last) = 1),
+numbers as (select snapshot_no, lead(snapshot_no) over (order by snapshot_no) as following, lag(snapshot_no) over (order by snapshot_no) as before from (select distinct snapshot_no from held)),
+late as (select * from held join numbers using (snapshot_no) where before is not null),
+early as (select following as snapshot_no, relative_path, sha256, mtime_ns from held join numbers using (snapshot_no) where following is not null),
+both_sides as (
+  select snapshot_no, relative_path, l.relative_path as is_late, e.relative_path as is_early,
+    l.sha256 is distinct from e.sha256 as sha_differs, l.mtime_ns is distinct from e.mtime_ns as mtime_differs
+  from late l full join early e using (snapshot_no, relative_path))
+"""
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = table(spark, sf_dir, "catalog_entries")
+    return snapshots.changes(entries, "snapshot_no", snapshots.canonical_path(F.col("relative_path")), "delivered_at", ["sha256", "mtime_ns"])
+
+
+@query(SNAPSHOT_SQL + "select snapshot_no, relative_path, case when is_early is null then 'added' when is_late is null then 'removed' else 'changed' end as change_type from both_sides where is_early is null or is_late is null or sha_differs or mtime_differs")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changes(spark, sf_dir).select("snapshot_no", F.col("key").alias("relative_path"), "change_type")
+
+
+@query(
+    SNAPSHOT_SQL
+    + """select snapshot_no, case when is_early is null then 'added' when is_late is null then 'removed' else 'changed' end as change_type,
+  case when is_early is null or is_late is null then '' else concat_ws(',', case when sha_differs then 'sha256' end, case when mtime_differs then 'mtime_ns' end) end as changed_fields, count(*) as entries
+from both_sides where is_early is null or is_late is null or sha_differs or mtime_differs group by 1, 2, 3"""
+)
+def p4_changed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changes(spark, sf_dir).groupBy("snapshot_no", "change_type", F.array_join("changed_fields", ",").alias("changed_fields")).agg(F.count("*").alias("entries"))
