@@ -28,5 +28,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restored_lines(source, "text", ["source_table", "row_id"]).select("source_table", "row_id", "line_no", "restored_text").distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p5_found": p5_found}
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.leaks import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "passage")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).where("edits = 0").select("doc_id", "item_id")
+
+
+def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with one edited word allowed, and the number of edits."""
+    return _leaks(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p7_found, p7_near)}
 SQL: dict[str, str] = {}
