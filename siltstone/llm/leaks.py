@@ -19,8 +19,8 @@ from siltstone.llm.words import run_hashes, words
 
 #: Items held by a task at a time; a larger test set is worked off in blocks of this size, each against all documents.
 BLOCK_ITEMS = 20_000
-#: Codes of the words of no passage and of the gap between documents.
-OTHER, GAP = 0, 1
+#: Codes of the words of no passage, of the gap between documents and of the gap between passages.
+OTHER, GAP, EDGE = 0, 1, 2
 
 
 class Index:
@@ -37,12 +37,12 @@ class Index:
             w = words(passage)
             if len(w) >= window:
                 ids.append(item)
-                parts.append(np.array([self.codes.setdefault(x, len(self.codes) + 2) for x in w], np.uint64))
+                parts.append(np.array([self.codes.setdefault(x, len(self.codes) + 3) for x in w], np.uint64))
         self.items = np.array(ids, np.int64)
         self.lengths = np.array([len(p) for p in parts], np.int64)
         # passages one after another, with room on both sides so that windows never reach into a neighbour
         self.starts = np.concatenate([[0], np.cumsum(self.lengths + 2 * window)])[:-1].astype(np.int64) + window if parts else np.empty(0, np.int64)
-        self.text = np.full(int(self.lengths.sum()) + 2 * window * len(parts) + window, GAP, np.uint64)
+        self.text = np.full(int(self.lengths.sum()) + 2 * window * len(parts) + window, EDGE, np.uint64)
         hashes, owner, at = [], [], []
         for k, p in enumerate(parts):
             self.text[self.starts[k] : self.starts[k] + len(p)] = p
