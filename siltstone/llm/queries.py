@@ -43,5 +43,17 @@ def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p7_found, p7_near)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.spans import shared_spans
+
+    return shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "span_start", "span_end")
+
+
+def p8_shared_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.spans import shared_share
+
+    return shared_share(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p7_found, p7_near, p8_found, p8_shared_share)}
 SQL: dict[str, str] = {}
