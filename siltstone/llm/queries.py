@@ -21,6 +21,23 @@ def texts(spark: SparkSession, sf_dir: str, *sources: tuple[str, str, str]) -> D
     return out
 
 
+def _secret_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir, ("catalog_records", "id", "content"), ("catalog_chunks", "id", "content"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.secrets import found_secrets
+
+    return found_secrets(_secret_texts(spark, sf_dir)).withColumnRenamed("value", "found_text")
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its secrets masked; rows without secrets come out unchanged."""
+    from siltstone.llm.secrets import redacted
+
+    return redacted(_secret_texts(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.mojibake import restored_lines
 
@@ -55,5 +72,5 @@ def p8_shared_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_share(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p7_found, p7_near, p8_found, p8_shared_share)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_redacted, p5_found, p7_found, p7_near, p8_found, p8_shared_share)}
 SQL: dict[str, str] = {}
