@@ -38,6 +38,23 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redacted(_secret_texts(spark, sf_dir))
 
 
+#: The statement of problem 3: word triples, a similarity of 0.6, contents of 25 words or more.
+NEAR = {"run": 3, "similarity": 0.6, "least_words": 25}
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.neardup import similar_pairs
+
+    return similar_pairs(table(spark, sf_dir, "catalog_records"), "id", "content", **NEAR)
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with a near duplicate, the group it belongs to and the number of its links; copies aren't spelled out as pairs."""
+    from siltstone.llm.neardup import groups_of, links
+
+    return groups_of(*links(table(spark, sf_dir, "catalog_records"), "id", "content", **NEAR))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.mojibake import restored_lines
 
@@ -72,5 +89,5 @@ def p8_shared_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_share(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_redacted, p5_found, p7_found, p7_near, p8_found, p8_shared_share)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_groups, p5_found, p7_found, p7_near, p8_found, p8_shared_share)}
 SQL: dict[str, str] = {}
