@@ -62,6 +62,19 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restored_lines(source, "text", ["source_table", "row_id"]).select("source_table", "row_id", "line_no", "restored_text").distinct()
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.packing import packed
+
+    return packed(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "pack_capacities"))
+
+
+def p6_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and unused room of each container size."""
+    from siltstone.llm.packing import usage
+
+    return usage(p6_packed(spark, sf_dir))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.leaks import leaks
 
@@ -89,5 +102,5 @@ def p8_shared_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_share(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_groups, p5_found, p7_found, p7_near, p8_found, p8_shared_share)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_groups, p5_found, p6_packed, p6_usage, p7_found, p7_near, p8_found, p8_shared_share)}
 SQL: dict[str, str] = {}
