@@ -21,6 +21,23 @@ def texts(spark: SparkSession, sf_dir: str, *sources: tuple[str, str, str]) -> D
     return out
 
 
+def _personal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir, ("catalog_records", "id", "content"), ("search_hits", "hit_id", "excerpt"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.pii import personal_spans
+
+    return personal_spans(_personal_texts(spark, sf_dir), table(spark, sf_dir, "name_parts"))
+
+
+def p1_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with typed placeholders for personal information."""
+    from siltstone.llm.pii import masked_texts
+
+    return masked_texts(_personal_texts(spark, sf_dir), table(spark, sf_dir, "name_parts"))
+
+
 def _secret_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir, ("catalog_records", "id", "content"), ("catalog_chunks", "id", "content"))
 
@@ -102,5 +119,5 @@ def p8_shared_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_share(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_groups, p5_found, p6_packed, p6_usage, p7_found, p7_near, p8_found, p8_shared_share)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_redacted, p3_found, p3_groups, p5_found, p6_packed, p6_usage, p7_found, p7_near, p8_found, p8_shared_share)}
 SQL: dict[str, str] = {}
