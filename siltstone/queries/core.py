@@ -7,19 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators import snapshots
+from siltstone.functions import text
+from siltstone.operators import chunks, index, snapshots
+from siltstone.plans import search
+from siltstone.queries import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(check: str | None = None):
     """Registers a query under its function's name."""
 
     def add(f):
         QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
+        if check:
+            SQL[f.__name__] = check
         return f
 
     return add
@@ -62,3 +65,189 @@ from both_sides where is_early is null or is_late is null or sha_differs or mtim
 )
 def p4_changed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _changes(spark, sf_dir).groupBy("snapshot_no", "change_type", F.array_join("changed_fields", ",").alias("changed_fields")).agg(F.count("*").alias("entries"))
+
+
+# --- search -----------------------------------------------------------------------------------------------------------
+
+ENTRIES = "entries as (select id, relative_path, absolute_path, {status} as status from catalog_records)"
+#: Statuses of files that couldn't be read, for the check of their rank only; the given records were all read.
+UNREAD = "case when id % 7 = 0 then 'error' when id % 11 = 0 then 'unsupported' else status end"
+LOGGED = "select query_id, query_text from search_hits where query_text is not null"
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.with_ngrams(table(spark, sf_dir, "catalog_chunks").distinct())
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "search_hits").select("query_id", "query_text").where("query_text is not null")
+
+
+def _entries(spark: SparkSession, sf_dir: str, status: str = "status") -> DataFrame:
+    return table(spark, sf_dir, "catalog_records").select("id", "relative_path", "absolute_path", F.expr(status).alias("status"))
+
+
+HIT_SQL = f"""select h.query_id, h.rank::int as rank, h.stage, h.relative_path, h.absolute_path, {sql.page_path("h.relative_path")} as wiki_path, h.status,
+  case when coalesce(c.content, '') = '' then h.relative_path else {sql.excerpt("coalesce(c.content, '')", "g.tokens")} end as excerpt, round(h.score, 6) as score
+from hits_ranked h join chunks c on c.id = h.chunk_id join group_tokens g on g.query_id = h.query_id"""
+
+
+@query(f"with {ENTRIES.format(status='status')}, {sql.ladder(LOGGED)} {HIT_SQL}")
+def search_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every logged question, its first five files."""
+    return search.search(_questions(spark, sf_dir), _chunks(spark, sf_dir), _entries(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query(f"with {ENTRIES.format(status=UNREAD)}, {sql.ladder(LOGGED, 50)} select query_id, rank::int as rank, stage, relative_path, status, round(score, 6) as score from hits_ranked")
+def search_demoted_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with 50 files a question and some files marked as unread: these come after all others of their stage."""
+    found = search.search(_questions(spark, sf_dir), _chunks(spark, sf_dir), _entries(spark, sf_dir, UNREAD), 50)
+    return found.select("query_id", "rank", "stage", "relative_path", "status", F.round("score", 6).alias("score"))
+
+
+@query(f"with {sql.scores(LOGGED)} select query_id, clause::int as clause, chunk_id, round(weighted, 6) as weighted, round(plain, 6) as plain from satisfied")
+def bm25_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every satisfied word of every logged question in every chunk, with and without field weights."""
+    _, satisfied = search.satisfied_clauses(_questions(spark, sf_dir), _chunks(spark, sf_dir))
+    return satisfied.select("query_id", "clause", "chunk_id", F.round("weighted", 6).alias("weighted"), F.round("plain", 6).alias("plain"))
+
+
+@query(f"with {ENTRIES.format(status='status')}, {sql.ladder(LOGGED)} select query_id, mask::int as mask, size::int as size, first::int as first from chosen")
+def chosen_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of words that each question is answered with."""
+    return search.chosen_groups(search.satisfied_clauses(_questions(spark, sf_dir), _chunks(spark, sf_dir))[1])
+
+
+@query(f"with {ENTRIES.format(status='status')}, {sql.ladder(LOGGED)} select query_id, entry_id, chunk_id, round(score, 6) as score from same")
+def best_chunk_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that hold the chosen words in one chunk (any word where there is no group), with their best chunk."""
+    satisfied = search.satisfied_clauses(_questions(spark, sf_dir), _chunks(spark, sf_dir))[1]
+    return search.same_chunk(satisfied, search.chosen_groups(satisfied)).withColumn("score", F.round("score", 6))
+
+
+@query(f"with {ENTRIES.format(status='status')}, {sql.ladder(LOGGED)} select query_id, entry_id, chunk_id, round(a.score, 6) as score from across_all a join first_chunk using (query_id, entry_id)")
+def cross_chunk_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that hold all chosen words, in whichever of their chunks."""
+    satisfied = search.satisfied_clauses(_questions(spark, sf_dir), _chunks(spark, sf_dir))[1]
+    return search.across_chunks(satisfied, search.chosen_groups(satisfied)).withColumn("score", F.round("score", 6))
+
+
+#: Hyphenated names of the catalog's own pages: phrases of neighbouring terms.
+NAMES = f"select id as query_id, {sql.stem('relative_path')} as query_text from catalog_records"
+
+
+@query(f"with {sql.scores(NAMES)} select query_id, chunk_id, count(*) as words, round(sum(weighted), 6) as score from satisfied group by 1, 2")
+def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file's own name as a question; hyphenated parts must stand next to each other."""
+    names = table(spark, sf_dir, "catalog_records").select(F.col("id").alias("query_id"), text.stem(F.col("relative_path")).alias("query_text"))
+    _, satisfied = search.satisfied_clauses(names, _chunks(spark, sf_dir))
+    return satisfied.groupBy("query_id", "chunk_id").agg(F.count("*").alias("words"), F.round(F.sum("weighted"), 6).alias("score"))
+
+
+@query(f"with {sql.INDEX} select term, count(distinct chunk_id) as n_chunks, count(*) as n_occurrences from posts group by 1")
+def postings_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.term_stats(index.postings(_chunks(spark, sf_dir)))
+
+
+@query(f"with {sql.INDEX} select n_chunks, n_tokens::bigint as n_tokens, round(avg_tokens, 6) as avg_tokens from totals")
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.corpus_stats(index.chunk_stats(_chunks(spark, sf_dir))).withColumn("avg_tokens", F.round("avg_tokens", 6))
+
+
+# --- text functions ---------------------------------------------------------------------------------------------------
+
+
+@query(f"select id, array_to_string({sql.bigrams('content')}, ' ') as bigrams from catalog_records where content is not null")
+def cjk_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "catalog_records").where("content is not null").select("id", F.array_join(text.cjk_bigrams(F.col("content")), " ").alias("bigrams"))
+
+
+@query(f"select distinct query_text, array_to_string({sql.bigrams('query_text', 2)}, ' ') as bigrams from search_hits where query_text is not null")
+def cjk_query_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "search_hits").where("query_text is not null").select("query_text").distinct()
+    return asked.select("query_text", F.array_join(text.cjk_query_bigrams(F.col("query_text")), " ").alias("bigrams"))
+
+
+@query(f"select id, array_to_string({sql.query_tokens('content')}, ' ') as tokens from catalog_records where content is not null and length(content) < 400")
+def query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short = table(spark, sf_dir, "catalog_records").where("content is not null and length(content) < 400")
+    return short.select("id", F.array_join(text.query_tokens(F.col("content")), " ").alias("tokens"))
+
+
+@query(f"select distinct h.hit_id, {sql.excerpt('c.content', sql.query_tokens('h.query_text'))} as excerpt from search_hits h join catalog_records c using (relative_path) where h.query_text is not null and c.content is not null")
+def excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The excerpt of each logged hit, made again from its file."""
+    hits = table(spark, sf_dir, "search_hits").where("query_text is not null").select("hit_id", "relative_path", "query_text").distinct()
+    records = table(spark, sf_dir, "catalog_records").where("content is not null").select("relative_path", "content")
+    return hits.join(records, "relative_path").select("hit_id", text.excerpt(F.col("content"), text.query_tokens(F.col("query_text"))).alias("excerpt"))
+
+
+@query(f"""select id, relative_path, {sql.name('relative_path')} as file_name, {sql.stem('relative_path')} as stem, {sql.suffix('relative_path')} as suffix, {sql.page_path('relative_path')} as page_path,
+  strlen(content) as bytes, sha256(content) as content_sha256 from catalog_records""")
+def entries_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.col("relative_path")
+    return table(spark, sf_dir, "catalog_records").select(
+        "id", "relative_path", text.file_name(path).alias("file_name"), text.stem(path).alias("stem"), text.suffix(path).alias("suffix"), text.page_path(path).alias("page_path"), F.octet_length("content").cast("bigint").alias("bytes"), F.sha2("content", 256).alias("content_sha256")
+    )
+
+
+@query("select id, relative_path, status, content from catalog_records where relative_path = (select min(relative_path) from catalog_records)")
+def entry_point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One entry by its path; the filter reaches the scan."""
+    records = table(spark, sf_dir, "catalog_records")
+    return records.where(F.col("relative_path") == records.agg(F.min("relative_path")).first()[0]).select("id", "relative_path", "status", "content")
+
+
+@query("select id, repeat('`', greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(content, '`+'), lambda r: length(r))), 0))::int) as fence from catalog_records where content is not null")
+def fence_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "catalog_records").where("content is not null").select("id", text.fence(F.col("content")).alias("fence"))
+
+
+# --- chunks -----------------------------------------------------------------------------------------------------------
+
+
+def chunk_sql(budget: int) -> str:
+    line = f"[^{text.LINE_END}\\r]*(?:\\r\\n|[{text.LINE_END}\\r])|[^{text.LINE_END}\\r]+"
+    return f"""with recursive lines as (select id, unnest(regexp_extract_all(content, '{line}')) as line, generate_subscripts(regexp_extract_all(content, '{line}'), 1) as n from catalog_records where content <> ''),
+grouped as (select *, (strlen(line) > {budget})::int as long, 2 * sum((strlen(line) > {budget})::int) over (partition by id order by n) - (strlen(line) > {budget})::int as part from lines),
+units as (
+  select id, n, part, unnest(case when long = 1 then regexp_extract_all(line, '[^{text.SPACE}]+[{text.SPACE}]*|[{text.SPACE}]+') else [line] end) as unit,
+    generate_subscripts(case when long = 1 then regexp_extract_all(line, '[^{text.SPACE}]+[{text.SPACE}]*|[{text.SPACE}]+') else [line] end, 1) as m from grouped),
+numbered as (select id, part, unit, strlen(unit) as size, row_number() over (partition by id order by n, m) as k from units),
+packed as (
+  select id, k, part, 0 as chunk_index, size as held from numbered where k = 1
+  union all
+  select n.id, n.k, n.part, p.chunk_index + (n.part <> p.part or p.held + n.size > {budget})::int, case when n.part <> p.part or p.held + n.size > {budget} then n.size else p.held + n.size end
+  from packed p join numbered n on n.id = p.id and n.k = p.k + 1)
+select id as entry_id, chunk_index, string_agg(unit, '' order by k) as content from packed join numbered using (id, k) group by 1, 2
+union all select id, 0, '' from catalog_records where coalesce(content, '') = ''"""
+
+
+@query(chunk_sql(4096))
+def chunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.chunked(table(spark, sf_dir, "catalog_records"), "id", "content", 4096)
+
+
+@query(chunk_sql(256))
+def chunk_records_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.chunked(table(spark, sf_dir, "catalog_records"), "id", "content", 256)
+
+
+@query("select entry_id, string_agg(content, '' order by chunk_index) as content from (select distinct * from catalog_chunks) group by 1")
+def chunk_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.reassembled(table(spark, sf_dir, "catalog_chunks"))
+
+
+@query(f"with {sql.CHUNKS} select id, entry_id, chunk_index, ngrams from chunks")
+def migration_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bigram field of all chunks, filled in for those of old catalogs."""
+    return _chunks(spark, sf_dir).select("id", "entry_id", "chunk_index", "ngrams")
+
+
+@query(f"""select e.id as entry_id, 0 as chunk_index, e.relative_path, '' as content, array_to_string({sql.bigrams('e.relative_path')}, ' ') as ngrams
+from (select distinct id, relative_path, kind from catalog_entries where snapshot_no = (select max(snapshot_no) from catalog_entries)) e where e.kind = 'file' and not exists (select 1 from catalog_chunks c where c.entry_id = e.id)""")
+def path_only_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path-only chunks for the files of the last snapshot that have none, such as those that couldn't be read."""
+    entries = table(spark, sf_dir, "catalog_entries")
+    last = entries.where(F.col("snapshot_no") == entries.agg(F.max("snapshot_no")).first()[0]).select("id", "relative_path", "kind").distinct()
+    return chunks.missing_path_chunks(last, table(spark, sf_dir, "catalog_chunks"))
