@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text
-from siltstone.operators import chunks, index, snapshots
+from siltstone.operators import chunks, index, snapshots, sync
 from siltstone.plans import search
 from siltstone.queries import sql
+from siltstone.sinks import wiki
+from siltstone.sources import extract, scan
+from siltstone.sources.settings import EXCLUDED_DIRECTORIES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -168,10 +171,11 @@ def cjk_query_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("query_text", F.array_join(text.cjk_query_bigrams(F.col("query_text")), " ").alias("bigrams"))
 
 
-@query(f"select id, array_to_string({sql.query_tokens('content')}, ' ') as tokens from catalog_records where content is not null and length(content) < 400")
+@query(f"select query_text, array_to_string({sql.query_tokens('query_text')}, ' ') as tokens from (select query_text from search_hits union select prompt from eval_items) where query_text is not null")
 def query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = table(spark, sf_dir, "catalog_records").where("content is not null and length(content) < 400")
-    return short.select("id", F.array_join(text.query_tokens(F.col("content")), " ").alias("tokens"))
+    """Tokens of all logged questions and all prompts of the evaluation items."""
+    asked = table(spark, sf_dir, "search_hits").select("query_text").unionByName(table(spark, sf_dir, "eval_items").select(F.col("prompt").alias("query_text"))).where("query_text is not null").distinct()
+    return asked.select("query_text", F.array_join(text.query_tokens(F.col("query_text")), " ").alias("tokens"))
 
 
 @query(f"select distinct h.hit_id, {sql.excerpt('c.content', sql.query_tokens('h.query_text'))} as excerpt from search_hits h join catalog_records c using (relative_path) where h.query_text is not null and c.content is not null")
@@ -251,3 +255,156 @@ def path_only_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = table(spark, sf_dir, "catalog_entries")
     last = entries.where(F.col("snapshot_no") == entries.agg(F.max("snapshot_no")).first()[0]).select("id", "relative_path", "kind").distinct()
     return chunks.missing_path_chunks(last, table(spark, sf_dir, "catalog_chunks"))
+
+
+# --- sync: the last snapshot is the scan, the one before it the catalog ------------------------------------------------
+
+SYNC_SQL = """
+with latest as (
+  select snapshot_no, relative_path, id, absolute_path, kind, size, mtime_ns, status, extractor, error, sha256, wiki_path, indexed_at from catalog_entries
+  qualify row_number() over (partition by snapshot_no, relative_path order by delivered_at desc, id desc) = 1),
+numbers as (select max(snapshot_no) as this, max(case when snapshot_no < (select max(snapshot_no) from catalog_entries) then snapshot_no end) as before from catalog_entries),
+scan as (select l.* from latest l join numbers on snapshot_no = this), old as (select l.* from latest l join numbers on snapshot_no = before),
+changes as (
+  select relative_path, case when s.id is null then 'removed' when o.id is null then 'added'
+    when s.kind is distinct from o.kind or s.size is distinct from o.size or s.mtime_ns is distinct from o.mtime_ns then 'updated'
+    when o.status in ('unsupported', 'error') then 'retry' else 'unchanged' end as change
+  from scan s full join old o using (relative_path)),
+settled as (
+  select c.relative_path, case when change <> 'retry' then change
+    when s.status is not distinct from o.status and s.extractor is not distinct from o.extractor and s.error is not distinct from o.error and s.sha256 is not distinct from o.sha256 then 'unchanged' else 'updated' end as change
+  from changes c left join scan s using (relative_path) left join old o using (relative_path))
+"""
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of the last snapshot and of the one before it, one a path."""
+    entries = table(spark, sf_dir, "catalog_entries")
+    numbers = [r[0] for r in entries.select("snapshot_no").distinct().orderBy(F.desc("snapshot_no")).limit(2).collect()]
+    columns = [c for c in entries.columns if c not in ("snapshot_no", "delivered_at", "id", "relative_path")]
+    last = entries.groupBy("snapshot_no", "relative_path").agg(F.max(F.struct("delivered_at", "id", *columns)).alias("_r")).select("snapshot_no", "relative_path", "_r.id", *[f"_r.{c}" for c in columns])
+    this, before = (last.where(F.col("snapshot_no") == n).drop("snapshot_no") for n in numbers)
+    return this, before
+
+
+@query(SYNC_SQL + "select * from changes")
+def sync_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.diff(*_snapshots(spark, sf_dir), sync.UNREADABLE)
+
+
+@query(SYNC_SQL + "select * from settled")
+def sync_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes with retries settled: a file that fails again in the same way is unchanged."""
+    this, before = _snapshots(spark, sf_dir)
+    return sync.settled(sync.diff(this, before, sync.UNREADABLE), this, before)
+
+
+@query(SYNC_SQL + "select count_if(change = 'added') as added, count_if(change = 'updated') as updated, count_if(change = 'unchanged') as unchanged, count_if(change = 'removed') as removed from settled")
+def sync_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    this, before = _snapshots(spark, sf_dir)
+    return sync.summary(sync.settled(sync.diff(this, before, sync.UNREADABLE), this, before))
+
+
+@query(SYNC_SQL + f"select relative_path, {sql.page_path('relative_path')} as wiki_path from settled join old using (relative_path) where change = 'removed' and kind = 'file'")
+def sync_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    this, before = _snapshots(spark, sf_dir)
+    return sync.removed_pages(sync.diff(this, before), before)
+
+
+@query(
+    SYNC_SQL
+    + """, top as (select coalesce(max(id), 0) as top from old),
+fresh as (select s.*, c.change from scan s join settled c using (relative_path) where change in ('added', 'updated'))
+select o.id, o.relative_path, o.kind, o.size, o.mtime_ns, o.status, o.sha256 from old o join settled c using (relative_path) where change = 'unchanged'
+union all select o.id, f.relative_path, f.kind, f.size, f.mtime_ns, f.status, f.sha256 from fresh f join old o using (relative_path)
+union all select top + row_number() over (order by f.relative_path), f.relative_path, f.kind, f.size, f.mtime_ns, f.status, f.sha256 from fresh f, top where f.change = 'added'"""
+)
+def sync_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries after the sync; known paths keep their ids, new ones are numbered on."""
+    this, before = _snapshots(spark, sf_dir)
+    changes = sync.settled(sync.diff(this, before, sync.UNREADABLE), this, before)
+    return sync.upserted(before, this, changes).select("id", "relative_path", "kind", "size", "mtime_ns", "status", "sha256")
+
+
+@query("select snapshot_no, kind, status, count(*) as entries from (select distinct snapshot_no, relative_path, kind, status from catalog_entries) group by all")
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "catalog_entries").select("snapshot_no", "relative_path", "kind", "status").distinct()
+    return rows.groupBy("snapshot_no", "kind", "status").agg(F.count("*").alias("entries"))
+
+
+@query("select id, relative_path, case when strlen(content) > 8192 then 'too_large' else status end as status from catalog_records")
+def size_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status of the records under a limit of 8192 bytes of text."""
+    return table(spark, sf_dir, "catalog_records").select("id", "relative_path", F.when(F.octet_length("content") > 8192, "too_large").otherwise(F.col("status")).alias("status"))
+
+
+EXCLUDED = (*EXCLUDED_DIRECTORIES, "shared", "yellow")
+
+
+@query(f"""select distinct relative_path from catalog_entries where not list_has_any(case when kind = 'directory' then string_split(lower(relative_path), '/') else string_split(lower(relative_path), '/')[:-2] end, [{sql.quoted(EXCLUDED)}])
+and len(list_filter(case when kind = 'directory' then string_split(lower(relative_path), '/') else string_split(lower(relative_path), '/')[:-2] end, lambda f: f like '%.git' or f like 're%')) = 0
+and (kind = 'directory' or {sql.suffix('relative_path')} not in ('.csv', '.toml'))""")
+def scan_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths that a scan keeps under the default rules and a few more."""
+    paths = table(spark, sf_dir, "catalog_entries")
+    return paths.where(scan.kept(F.col("relative_path"), EXCLUDED, ("*.git", "re*"), (".csv", ".toml"), F.col("kind") == "directory")).select("relative_path").distinct()
+
+
+# --- pages ------------------------------------------------------------------------------------------------------------
+
+_v = lambda c: f"coalesce({c}::varchar, '')"
+_q = lambda c: f"to_json(coalesce({c}::varchar, ''))::varchar"
+PAGE_SQL = f"""select relative_path, {sql.page_path('relative_path')} as wiki_path,
+  concat_ws(chr(10), '---', 'source_path: ' || {_q('absolute_path')}, 'relative_path: ' || {_q('relative_path')}, 'status: ' || {_q('status')}, 'extractor: ' || {_q('extractor')}, 'sha256: ' || {_q('sha256')},
+    'size_bytes: ' || {_v('size')}, 'modified_ns: ' || {_v('mtime_ns')}, 'indexed_at: ' || {_q('indexed_at')}, '---', '', '# ' || {sql.name('relative_path')}, '', '## Provenance', '',
+    '- Original file: `' || {_v('absolute_path')} || '`', '- Relative path: `' || {_v('relative_path')} || '`', '- Extraction status: `' || {_v('status')} || '`',
+    case when {_v('error')} <> '' then '- Extraction note: ' || error end, '', '## Extracted content', '',
+    case when {_v('content')} <> '' then concat(marks, 'text', chr(10), content, chr(10), marks, chr(10)) else concat('No readable text was extracted. The file remains indexed by path and metadata.', chr(10)) end) as page
+from (select *, repeat('`', greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(content, '`+'), lambda r: length(r))), 0))::int) as marks from catalog_records) where kind = 'file'"""
+
+
+@query(PAGE_SQL)
+def wiki_page_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wiki.pages(table(spark, sf_dir, "catalog_records"))
+
+
+@query(SYNC_SQL + f"""select case when kind = 'file' then 0 else 1 end as section, relative_path, case when kind = 'file'
+  then concat('- [', relative_path, '](', regexp_replace({sql.page_path('relative_path')}, '^wiki/', ''), ') — ', status, ', ', size::varchar, ' bytes') else concat('- `', relative_path, '/`') end as line from scan""")
+def wiki_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wiki.navigation(_snapshots(spark, sf_dir)[0])
+
+
+EXPECTED = f"expected as (select relative_path, {sql.page_path('relative_path')} as wiki_path from scan where kind = 'file'), present as (select distinct wiki_path from old where wiki_path <> '')"
+
+
+@query(SYNC_SQL + f", {EXPECTED} select distinct relative_path, wiki_path from expected e where relative_path in (select relative_path from settled where change in ('added', 'updated')) or wiki_path not in (select wiki_path from present)")
+def compile_changed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages to write after the sync: of changed files, and of files whose page the catalog before it didn't name."""
+    this, before = _snapshots(spark, sf_dir)
+    changes = sync.settled(sync.diff(this, before, sync.UNREADABLE), this, before).where("change in ('added', 'updated')")
+    return wiki.to_compile(this, changes, before.where("wiki_path <> ''"))
+
+
+@query(SYNC_SQL + f""", {EXPECTED} select 'missing' as issue_type, wiki_path as subject, 'Missing source page: ' || wiki_path as message from (select distinct wiki_path from expected) anti join present using (wiki_path)
+union all select 'orphan', wiki_path, 'Orphan source page: ' || {sql.name('wiki_path')} from present anti join expected using (wiki_path)""")
+def lint_missing_and_orphan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages named by the catalog before the last sync against the files of now."""
+    this, before = _snapshots(spark, sf_dir)
+    return wiki.lint(this, before)
+
+
+# --- extraction -------------------------------------------------------------------------------------------------------
+
+
+@query("select id, 'extracted' as status, content, 'text:utf-8-sig' as extractor, '' as error, sha256(content) as sha256 from catalog_records where content is not null")
+def extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents as bytes and read again as text files."""
+    got = table(spark, sf_dir, "catalog_records").where("content is not null").select("id", extract.extract(F.lit(".txt"), F.encode("content", "UTF-8")).alias("r"))
+    return got.select("id", "r.*")
+
+
+@query("select doc_id, 'extracted' as status, text as content, 'text-sniffed:utf-8-sig' as extractor from documents where text is not null")
+def extract_sniffed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as bytes of files of unknown kind."""
+    got = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", extract.extract(F.lit(".data"), F.encode("text", "UTF-8")).alias("r"))
+    return got.select("doc_id", "r.status", "r.content", "r.extractor")
