@@ -155,8 +155,8 @@ def restored_lines(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     same rows again (callers that want a set apply distinct). Other columns of df, whatever their names, play no part.
     Lines are cut and sieved in the JVM, so that only suspicious ones reach Python.
     """
-    lines = df.select(*keys, F.posexplode(F.split(F.col(text), "\n", -1)).alias("_no", "_line")).where(F.col("_line").rlike(SUSPECT))
-    out = lines.select(*keys, (F.col("_no") + 1).cast("int").alias("line_no"), F.col("_line").alias("garbled_text"), _restore("_line").alias("restored_text"))
+    lines = df.select(F.struct(*keys).alias("_keys"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("_no", "_line")).where(F.col("_line").rlike(SUSPECT))
+    out = lines.select("_keys.*", (F.col("_no") + 1).cast("int").alias("line_no"), F.col("_line").alias("garbled_text"), _restore("_line").alias("restored_text"))
     return out.where(F.col("restored_text").isNotNull())
 
 

@@ -100,7 +100,7 @@ def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
 
 
 #: A longer text is cut in overlapping pieces, so that positions fit the packed form.
-LONGEST = 1 << 23
+LONGEST = 1 << 21
 
 
 def _cut_task(length: int):

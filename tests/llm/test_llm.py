@@ -1,0 +1,306 @@
+"""The numbered operators on small fixtures: brute force, round trips, held-out lines, and odd rows (nulls, empty and long texts, ties, repetitions, clashing columns, empty tables)."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from siltstone.llm import leaks, mojibake, neardup, packing, pii, secrets, spans
+
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def texts_df(spark, rows):
+    """Ids and texts with columns whose names the operators use inside."""
+    schema = "id bigint, text string, line string, _line string, owner string, doc_id bigint, cut bigint, kind string, value string, kept bigint, tokens string"
+    return spark.createDataFrame([(i, t, "x", "y", "z", 7, 8, "k", "v", 9, "t") for i, t in rows], schema)
+
+
+def sourced(spark, rows):
+    return spark.createDataFrame([("catalog_records", i, t) for i, t in rows], "source_table string, row_id bigint, text string")
+
+
+# --- 1 personal information ---
+
+
+@pytest.fixture(scope="module")
+def parts(spark):
+    rows = [("Tessa", "latin", "given"), ("Corwin", "latin", "given"), ("Foxmantle", "latin", "family"), ("Grace", "latin", "given"), ("도담", "hangul", "given"), ("하솔", "hangul", "given"), ("센서", "hangul", "given"), ("김", "hangul", "family"), (None, None, None)]
+    return spark.createDataFrame(rows, "token string, script string, position_kind string")
+
+
+def test_personal_spans(spark, parts):
+    rows = [
+        (1, "cc: Tessa Q. Foxmantle <t.fox@mail.alder.example>\nCall 555-555-0173 before noon."), (2, "담당자: 김도담\n주소: 한결시 가람구 은빛로 12, 301호\n신분증 번호는 900101-2345678 이고"), (3, "Grace period of 12 days applies\n장치 일련번호 123456-1234-1234\ngit clone git@code.alder.example:a/b.git\ncontact ***@***.example"),
+        (4, None), (5, ""), (6, "no case " * 20000), (1, "cc: Tessa Q. Foxmantle <t.fox@mail.alder.example>\nCall 555-555-0173 before noon."), (7, "mail me at t.fox (at) mail.alder.example or ０１０－１２３４－５６７８"),
+    ]
+    got = {(r.row_id, r.pii_type, r.found_text) for r in pii.personal_spans(sourced(spark, rows), parts).collect()}
+    assert {(1, "name", "Tessa Q. Foxmantle"), (1, "email", "t.fox@mail.alder.example"), (1, "phone", "555-555-0173"), (2, "name", "김도담"), (2, "address", "한결시 가람구 은빛로 12, 301호"), (2, "id_number", "900101-2345678")} <= got
+    assert not [g for g in got if g[0] == 3] and (7, "phone", "０１０－１２３４－５６７８") in got and any(g[0] == 7 and g[1] == "email" for g in got)
+    assert pii.personal_spans(sourced(spark, rows).limit(0), parts).count() == 0
+    masked = {r.row_id: r.text for r in pii.masked_texts(sourced(spark, rows), parts).collect()}
+    assert masked[1] == "cc: [NAME] <[EMAIL]>\nCall [PHONE] before noon." and masked[4] is None and masked[3] == rows[2][1]
+
+
+def test_empty_lexicon_and_held_out_lines(spark, parts):
+    lexicon, weights = pii.model(parts.limit(0))
+    assert lexicon.given == frozenset() and weights
+    rows = [tuple(r) for r in parts.where("token is not null").collect()]
+    lexicon, weights = pii.model(parts)
+    hits = misses = wrong = 0
+    for text, labels in pii.training_lines(rows, 300, seed=11):
+        gold, got = {(k, v) for k, v in labels}, {(c.kind, text[c.start : c.end]) for c in pii.found(text, lexicon, weights)}
+        hits, misses, wrong = hits + len(gold & got), misses + len(gold - got), wrong + len(got - gold)
+    assert hits / (hits + misses) > 0.95 and hits / (hits + wrong) > 0.95
+
+
+def test_marginals_agree_with_enumeration():
+    r = random.Random(3)
+    cands = [pii.Candidate(a, a + r.randint(1, 4), "name") for a in (r.randint(0, 8) for _ in range(7))]
+    scores = [r.uniform(-1, 2) for _ in cands]
+    total, per = 0.0, [0.0] * len(cands)
+    top = (-1e9, None)
+    for bits in range(1 << len(cands)):
+        chosen = [k for k in range(len(cands)) if bits >> k & 1]
+        if all(cands[a].end <= cands[b].start or cands[b].end <= cands[a].start for a in chosen for b in chosen if a < b):
+            s = sum(scores[k] for k in chosen)
+            top = max(top, (s, bits))
+            total += np.exp(s)
+            for k in chosen:
+                per[k] += np.exp(s)
+    assert np.allclose(pii._marginals(cands, scores), np.array(per) / total)
+    best = pii.best(cands, scores)
+    assert np.isclose(sum(scores[cands.index(c)] for c in best), top[0])
+
+
+# --- 2 credentials ---
+
+
+def test_secrets_found_rescanned_and_redacted(spark):
+    key = "nvk_live_abcDEF0123456789xyzQ"
+    body = "\n".join("QWERTYUIOP1234567890asdfghjklzxcvbnm" for _ in range(3))
+    rows = [
+        (1, f'import a\nAPI_KEY = "{key}"\npassword: ********\ntoken: ${{HOME_TOKEN}}\n'), (2, f"the old value was {key}, gone\n"), (3, 'password = os.environ["X_PASSWORD"]\nPASSWORD_MIN_LENGTH = 24\nsha256: ' + "ab12" * 16),
+        (4, f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----\nend"), (5, "url = postgres://app:tr4y-Blue_77@db.alder.example/x"), (6, None), (7, ""), (8, "비밀번호: relay-old-shelf-42"), (9, "x relay-old-shelf-421 and relay-old-shelf-42."), (10, "-----BEGIN PUBLIC KEY-----\nAAAA"), (1, f'import a\nAPI_KEY = "{key}"\npassword: ********\ntoken: ${{HOME_TOKEN}}\n'),
+    ]
+    got = {(r.row_id, r.value) for r in secrets.found_secrets(sourced(spark, rows)).collect()}
+    assert got == {(1, key), (2, key), (4, "-----BEGIN RSA PRIVATE KEY-----"), (5, "tr4y-Blue_77"), (8, "relay-old-shelf-42"), (9, "relay-old-shelf-42")}
+    masked = {r.row_id: r.text for r in secrets.redacted(sourced(spark, rows)).collect()}
+    assert masked[1] == rows[0][1].replace(key, secrets.MASK) and masked[3] == rows[2][1] and masked[6] is None
+    assert masked[4].startswith("-----BEGIN RSA PRIVATE KEY-----\n[REDACTED]") and "QWERTY" not in masked[4] and masked[9] == f"x relay-old-shelf-421 and {secrets.MASK}."
+    assert secrets.found_secrets(sourced(spark, rows).limit(0)).count() == 0
+
+
+def test_shared_placeholders_are_suppressed_but_copies_count_once(spark):
+    shared = [(i, f"file {i}\npassword = letmein{1}\n") for i in range(secrets.MAX_OWNERS + 5)]
+    copied = [(100 + i, "one file\npassword = hunter77\n") for i in range(30)]
+    got = Counter(r.value for r in secrets.found_secrets(sourced(spark, shared + copied)).collect())
+    assert got == {"hunter77": 30}
+
+
+# --- 3 near duplicates ---
+
+
+def triples(text):
+    w = re.findall(r"[^\W_]+", (text or "").lower())
+    return set(zip(w, w[1:], w[2:])) if len(w) >= 25 else set()
+
+
+@pytest.mark.parametrize("combined, frequent", [(1000, 16), (2, 1)])
+def test_similar_pairs_equal_brute_force(spark, monkeypatch, combined, frequent):
+    monkeypatch.setattr(neardup, "COMBINED", combined)
+    monkeypatch.setattr(neardup, "FREQUENT", frequent)
+    r = random.Random(5)
+    rows = []
+    for k in range(25):
+        base = [r.choice(WORDS[: 60 if k % 2 else 400]) for _ in range(r.randint(26, 150))]
+        for _ in range(r.randint(1, 5)):
+            w = list(base)
+            for _ in range(r.randint(0, len(w) // 10)):
+                w[r.randrange(len(w))] = r.choice(WORDS)
+            rows.append((len(rows), " ".join(w)))
+    rows += [(900, rows[0][1]), (901, rows[0][1]), (902, None), (903, ""), (904, "same word " * 40), (905, "same word " * 41), (906, "too short to count"), (0, rows[0][1]), (907, "a " * 30), (908, "a " * 40)]
+    sets = {i: s for i, t in rows if (s := triples(t))}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
+    got = {tuple(x) for x in neardup.similar_pairs(texts_df(spark, rows), "id", "text", 3, 0.6, 25).collect()}
+    assert got == want
+    groups = {x.id: x.group_id for x in neardup.groups_of(*neardup.links(texts_df(spark, rows), "id", "text", 3, 0.6, 25)).collect()}
+    for a, b in want:
+        assert groups[a] == groups[b]
+    assert set(groups) >= {x for p in want for x in p} and all(g <= i for i, g in groups.items())
+
+
+def test_no_pairs_in_empty_tables(spark):
+    assert neardup.similar_pairs(texts_df(spark, [(1, "a b c")]).limit(0), "id", "text").count() == 0
+
+
+def test_long_chain_is_one_group(spark):
+    found = spark.createDataFrame([(i, i + 1) for i in range(60)], "a bigint, b bigint")
+    same = spark.createDataFrame([(5, 5), (99, 5)], "id bigint, kept bigint")
+    got = {r.id: (r.group_id, r.links) for r in neardup.groups_of(found, same).collect()}
+    assert {g for g, _ in got.values()} == {0} and got[99] == (0, 2) and got[0] == (0, 1)
+
+
+# --- 5 wrong encodings ---
+
+
+@pytest.mark.parametrize("wrong, intended", [("cp1252", "utf-8"), ("mac_roman", "utf-8"), ("cp1251", "utf-8"), ("cp949", "utf-8"), ("latin-1", "cp949")])
+@pytest.mark.parametrize("line", ["Le câble révisé doit être relié à l’été", "정전 이후 누락된 연락망을 다시 점검했다", "Jeder größere Mörtel fehlte"])
+def test_repair_is_a_round_trip(wrong, intended, line):
+    try:
+        bad = line.encode(intended).decode("cp1252" if wrong == "x" else wrong)
+    except UnicodeError:
+        pytest.skip("not representable")
+    if bad != line:
+        assert mojibake.restore(bad) == line
+
+
+def test_nested_partial_lost_and_proper_lines(spark):
+    twice = "café desk".encode().decode("cp1252").encode().decode("cp1252")
+    rows = [(1, f"plain\r\n{twice}\n정상 문장 그리고 " + "점검".encode().decode("latin-1")), (2, "naïve façade – “coöperate” n°79\n£211 ¥5800 §78\nGröße 94 Ø\n漢字 병기: 溫度補正 69호\nЁлка 422 склад\nA ± 2.7 °C"), (3, "caf�� Ã©tait"), (4, None), (5, ""), (6, "정상 " * 30000)]
+    df = texts_df(spark, rows)
+    got = {(r.id, r.line_no): r.restored_text for r in mojibake.restored_lines(df, "text", ["id", "_line", "owner"]).collect()}
+    assert got == {(1, 2): "café desk", (1, 3): "정상 문장 그리고 점검", (3, 1): ""}
+    fixed = {r.id: r.text for r in mojibake.repair_text(df, "text").collect()}
+    assert fixed[1] == "plain\r\ncafé desk\n정상 문장 그리고 점검" and fixed[2] == rows[1][1] and fixed[3] == rows[2][1] and fixed[4] is None
+    assert mojibake.restored_lines(df.limit(0), "text", ["id"]).count() == 0
+
+
+# --- 6 containers ---
+
+
+def test_packing_keeps_every_token_and_capacity(spark):
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choice(WORDS) for _ in range(r.randint(1, 120)))) for i in range(150)] + [(500, None), (501, ""), (502, "word " * 5000), (0, "again")]
+    sizes = spark.createDataFrame([("s", 64), ("m", 512), ("none", None), ("zero", 0)], "window_name string, capacity_tokens int")
+    df = texts_df(spark, rows)
+    got = packing.packed(df, "id", "text", sizes).toPandas()
+    counts = {(x.id, x.text): x.n_tokens for x in packing.token_counts(df, "text").collect()}
+    want = sum(n for (i, t), n in counts.items() if t)
+    for name, capacity in (("s", 64), ("m", 512)):
+        mine = got[got.window_name == name]
+        assert mine.groupby("container_id").n_tokens.sum().max() <= capacity and mine.n_tokens.sum() == want
+        split = mine[mine.duplicated("doc_id", keep=False) & (mine.doc_id != 0)]
+        assert all(counts[(i, dict(rows)[i])] > capacity for i in set(split.doc_id))
+        assert want / (mine.container_id.nunique() * capacity) > 0.97
+    assert set(got.window_name) == {"s", "m"} and packing.packed(df.limit(0), "id", "text", sizes).count() == 0
+    assert packing.packed(df, "id", "text", sizes.limit(0)).count() == 0
+
+
+def test_best_two_fit_replaces_the_smallest():
+    assert packing.best_two_fit(np.array([6, 3, 2, 2]), 10) == [[6, 2, 2], [3]]
+    assert packing.best_two_fit(np.array([], np.int64), 10) == []
+    for seed in range(30):
+        sizes = np.random.default_rng(seed).integers(1, 50, 60)
+        bins = packing.best_two_fit(sizes, 50)
+        assert Counter(x for b in bins for x in b) == Counter(sizes.tolist()) and max(map(sum, bins)) <= 50
+
+
+# --- 7 leaks ---
+
+
+def edit_distance(a, b):
+    row = [0] * (len(b) + 1)
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_myers_equals_dynamic_programming():
+    r = np.random.default_rng(1)
+    pattern, text = r.integers(3, 8, (200, 13)).astype(np.uint64), r.integers(3, 8, (200, 15)).astype(np.uint64)
+    assert leaks.myers(pattern, text).tolist() == [edit_distance(p, t) for p, t in zip(pattern.tolist(), text.tolist())]
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2])
+def test_leaks_equal_brute_force(spark, edits):
+    r = random.Random(8)
+    items = [(i, " ".join(r.choice(WORDS[:50]) for _ in range(r.randint(8, 30)))) for i in range(20)] + [(90, None), (91, ""), (92, "shared start one two")]
+    docs = []
+    for k in range(40):
+        w = [r.choice(WORDS[:50]) for _ in range(60)]
+        piece = r.choice(items[:20])[1].split()
+        a = r.randint(0, max(0, len(piece) - 13))
+        cut = piece[a : a + r.randint(10, 20)]
+        for _ in range(r.randint(0, 2)):
+            op, at = r.randint(0, 2), r.randrange(1, len(cut) - 1)
+            cut = cut[:at] + {0: ["other"], 1: [], 2: ["more", cut[at]]}[op] + cut[at + 1 :]
+        docs.append((k, " ".join(w[:20] + cut + w[20:]) if k % 3 else ", ".join(cut).upper()))
+    docs += [(70, None), (71, ""), (72, "short"), (0, docs[0][1])]
+    want = {}
+    for i, p in items:
+        pw = (p or "").split()
+        for d, t in docs:
+            tw = re.findall(r"[^\W_]+", (t or "").lower())
+            least = min((edit_distance(pw[a : a + 13], tw) for a in range(len(pw) - 12)), default=99)
+            if least <= edits:
+                want[(d, i)] = least
+    item_df = spark.createDataFrame(items, "item_id bigint, passage string").withColumn("text", F.lit("x"))
+    got = {(x.doc_id, x.item_id): x.edits for x in leaks.leaks(texts_df(spark, docs), "id", "text", item_df, "item_id", "passage", 13, edits).collect()}
+    assert got == want and (edits == 0 or len(got) > 5)
+    assert leaks.leaks(texts_df(spark, docs), "id", "text", item_df.limit(0), "item_id", "passage").count() == 0
+    assert leaks.leaks(texts_df(spark, docs).limit(0), "id", "text", item_df, "item_id", "passage").count() == 0
+
+
+# --- 8 shared spans ---
+
+
+@pytest.mark.parametrize("hot", [2000, 2])
+def test_spans_equal_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(spans, "HOT", hot)
+    length, r = 80, random.Random(4)
+    make = lambda n: "".join(r.choice("abcdefghij klmn한글é\n") for _ in range(n))
+    common = [make(200) for _ in range(4)] + ["ab" * 120]
+    docs = []
+    for k in range(30):
+        parts = [make(r.randint(0, 150))]
+        for _ in range(r.randint(0, 3)):
+            c = r.choice(common)
+            a = r.randint(0, 100)
+            parts += [c[a : a + r.randint(60, 200)], make(r.randint(0, 90))]
+        docs.append((k, "".join(parts)))
+    docs += [(50, docs[0][1]), (51, docs[3][1]), (52, common[0] * 2), (53, None), (54, ""), (55, "x" * (length - 1)), (56, "y" * 300), (57, "y" * 200), (0, docs[0][1])]
+    held = {}
+    for i, t in docs:
+        for a in range(len(t or "") - length + 1):
+            held.setdefault(t[a : a + length], set()).add(i)
+    want = set()
+    for i, t in docs:
+        shared = [False] * len(t or "")
+        for a in range(len(t or "") - length + 1):
+            if len(held[t[a : a + length]]) > 1:
+                shared[a : a + length] = [True] * length
+        want |= {(i, m.start(), m.end()) for m in re.finditer("1+", "".join("01"[s] for s in shared))}
+    got = {tuple(x) for x in spans.shared_spans(texts_df(spark, docs), "id", "text", length).collect()}
+    assert got == want and len(want) > 20
+    share = {x.doc_id: x for x in spans.shared_share(texts_df(spark, docs), "id", "text", length).collect()}
+    assert share[53].shared_ratio == 0 and share[50].shared_ratio == 1 and share[53].n_chars == 0
+    assert spans.shared_spans(texts_df(spark, docs).limit(0), "id", "text").count() == 0
+
+
+def test_a_text_longer_than_a_piece(spark, monkeypatch):
+    monkeypatch.setattr(spans, "LONGEST", 500)
+    r = random.Random(6)
+    long = "".join(r.choice("abcdefgh") for _ in range(3000))
+    rows = [(1, long), (2, "q" * 50 + long[400:1900] + "z" * 50)]
+    got = {tuple(x) for x in spans.shared_spans(texts_df(spark, rows), "id", "text", 100).collect()}
+    assert {(1, 400, 1900)} <= got and any(g[0] == 2 and g[1] <= 50 and g[2] >= 1550 for g in got)
+
+
+def test_queries_run_and_keep_their_columns(spark, small_dir):
+    from siltstone.llm.queries import QUERIES
+
+    columns = {
+        "p1_found": ["source_table", "row_id", "pii_type", "found_text"], "p2_found": ["source_table", "row_id", "found_text"], "p3_found": ["id_a", "id_b"], "p5_found": ["source_table", "row_id", "line_no", "restored_text"],
+        "p7_found": ["doc_id", "item_id"], "p8_found": ["doc_id", "span_start", "span_end"],
+    }
+    for name, want in columns.items():
+        df = QUERIES[name](spark, small_dir)
+        rows = df.collect()
+        assert df.columns == want and rows and len(rows) == len(set(rows))
