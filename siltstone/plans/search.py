@@ -23,7 +23,7 @@ MOST_TOKENS = 8
 
 
 def clauses(queries: DataFrame) -> DataFrame:
-    """(query_id, n_clauses, clause, token, branch, branch_size, field, terms): the phrases that the words of questions ask for.
+    """(query_id, n_clauses, clause, token, word, branch, branch_size, phrase, field, terms): the phrases that the words of questions ask for; word and phrase are hashes of what they ask for.
 
     A word is asked for literally in any field (branch 0), or, if it has two CJK pairs or more, by all its pairs in the bigram
     field (branch 1). A null question, or one of stop words only, has no rows; of repeated query_id rows the least question holds.
@@ -35,17 +35,29 @@ def clauses(queries: DataFrame) -> DataFrame:
     phrase = lambda branch, size, field, terms: F.struct(F.lit(branch).alias("branch"), size.alias("branch_size"), F.lit(field).alias("field"), terms.alias("terms"))
     literal = F.array(phrase(0, F.lit(1), "", text.index_tokens(F.col("token"))))
     by_pairs = F.transform(pairs, lambda g: phrase(1, F.size(pairs), "ngrams", text.index_tokens(g)))
-    return each.select("query_id", "n_clauses", "clause", "token", F.inline(F.when(F.size(pairs) >= 2, F.concat(literal, by_pairs)).otherwise(literal)))
+    asked = each.select("query_id", "n_clauses", "clause", "token", F.xxhash64("token").alias("word"), F.inline(F.when(F.size(pairs) >= 2, F.concat(literal, by_pairs)).otherwise(literal)))
+    # a pair that a word holds twice is asked for twice, as two phrases
+    twice = F.row_number().over(Window.partitionBy("query_id", "clause", "branch", "field", "terms").orderBy("field"))
+    return asked.withColumn("_copy", twice).withColumn("phrase", F.xxhash64("field", "terms")).select("query_id", "n_clauses", "clause", "token", "word", "branch", "branch_size", "_copy", "phrase", "field", "terms")
 
 
 def phrase_hits(asked: DataFrame, posts: DataFrame) -> DataFrame:
-    """(field, terms, chunk_id, entry_id, weighted, plain): how often each asked (field, terms) stands in each chunk, terms at neighbouring positions of one field; field '' means any."""
-    phrases = asked.select(F.col("field").alias("_field"), "terms").where(F.size("terms") > 0).distinct()
-    words = phrases.select("_field", "terms", F.size("terms").alias("_n"), F.posexplode("terms").alias("_at", "term"))
-    met = posts.join(small(words, 200), "term").where("_field = '' or _field = field")
+    """(phrase, chunk_id, entry_id, weighted, plain): how often each asked phrase stands in each chunk, its terms at neighbouring positions of one field; field '' means any.
+
+    A phrase of several terms is looked up by its rarest one; the others are then checked at the places that it allows.
+    """
+    words = asked.select("phrase", F.col("field").alias("_field"), F.size("terms").alias("_n"), F.posexplode("terms").alias("_at", "term")).distinct()
+    words = cut(words)
+    met = cut(posts.join(small(words.select("term").distinct(), 100), "term", "left_semi"))
+    counted = words.join(met.groupBy("term").agg(F.count("*").alias("_times")), "term", "left")
+    rarest = counted.groupBy("phrase").agg(F.min(F.struct(F.coalesce("_times", F.lit(0)).alias("times"), F.col("_at").alias("at"), "term", "_field", F.col("_n").alias("n"))).alias("_r")).where("_r.times > 0")
+    place = rarest.select("phrase", "_r.term", F.col("_r._field").alias("_field"), F.col("_r.n").alias("_n"), F.col("_r.at").alias("_at")).join(met, "term").where("_field = '' or _field = field")
+    starts = place.select("phrase", "_n", "chunk_id", "entry_id", "field", (F.col("pos") - F.col("_at")).alias("_start"))
+    longer = starts.where("_n > 1").join(words.select("phrase", F.col("_at").alias("_j"), "term"), "phrase").withColumn("pos", F.col("_start") + F.col("_j"))
+    whole = longer.join(met, ["term", "chunk_id", "entry_id", "field", "pos"]).groupBy("phrase", "_n", "chunk_id", "entry_id", "field", "_start").agg(F.count("*").alias("_met")).where("_met = _n")
+    columns = ["phrase", "chunk_id", "entry_id", "field"]
     weight = F.coalesce(*[F.when(F.col("field") == f, w) for f, w in WEIGHTS.items()])
-    whole = met.groupBy("_field", "terms", "_n", "chunk_id", "entry_id", "field", (F.col("pos") - F.col("_at")).alias("_start")).agg(F.count("*").alias("_met")).where("_met = _n")
-    return whole.groupBy(F.col("_field").alias("field"), "terms", "chunk_id", "entry_id").agg(F.sum(weight).alias("weighted"), F.count("*").cast("double").alias("plain"))
+    return starts.where("_n = 1").select(columns).unionByName(whole.select(columns)).groupBy("phrase", "chunk_id", "entry_id").agg(F.sum(weight).alias("weighted"), F.count("*").cast("double").alias("plain"))
 
 
 def bm25(f: Column, rarity: Column, length: Column, average: Column) -> Column:
@@ -58,19 +70,22 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def phrase_scores(asked: DataFrame, posts: DataFrame, stats: DataFrame) -> DataFrame:
-    """(field, terms, chunk_id, entry_id, weighted, plain): scores of the asked phrases in chunks with and without field weights."""
+    """(phrase, chunk_id, entry_id, weighted, plain): scores of the asked phrases in chunks with and without field weights."""
     total = corpus_stats(stats).first()
-    hits = phrase_hits(asked, posts)
-    held = hits.groupBy("field", "terms").agg(F.count("*").alias("_df"))
-    scored = hits.join(held, ["field", "terms"]).join(stats.select("chunk_id", "n_tokens"), "chunk_id")
+    hits = cut(phrase_hits(asked, posts))
+    held = hits.groupBy("phrase").agg(F.count("*").alias("_df"))
+    scored = hits.join(held, "phrase").join(stats.select("chunk_id", "n_tokens"), "chunk_id")
     rarity, average = idf(F.lit(total.n_chunks), F.col("_df")), F.lit(total.avg_tokens or 1.0)
-    return scored.select("field", "terms", "chunk_id", "entry_id", *[bm25(F.col(c), rarity, F.col("n_tokens"), average).alias(c) for c in ("weighted", "plain")])
+    return scored.select("phrase", "chunk_id", "entry_id", *[bm25(F.col(c), rarity, F.col("n_tokens"), average).alias(c) for c in ("weighted", "plain")])
 
 
-def clause_scores(asked: DataFrame, scores: DataFrame) -> DataFrame:
-    """(query_id, n_clauses, clause, chunk_id, entry_id, weighted, plain) of the clauses that a chunk satisfies; only satisfied branches score."""
-    branches = asked.join(scores, ["field", "terms"]).groupBy("query_id", "n_clauses", "clause", "branch", "branch_size", "chunk_id", "entry_id").agg(F.count("*").alias("_met"), F.sum("weighted").alias("weighted"), F.sum("plain").alias("plain"))
-    return branches.where("_met = branch_size").groupBy("query_id", "n_clauses", "clause", "chunk_id", "entry_id").agg(F.sum("weighted").alias("weighted"), F.sum("plain").alias("plain"))
+def word_scores(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(word, chunk_id, chunk_index, entry_id, weighted, plain) of the asked words that a chunk satisfies; only satisfied branches score. A word counts once however many questions ask for it."""
+    phrases = asked.select("word", "branch", "branch_size", "_copy", "phrase", "field", "terms").distinct()
+    scores = phrase_scores(phrases.select("phrase", "field", "terms").where(F.size("terms") > 0).distinct(), postings(chunks), chunk_stats(chunks))
+    branches = phrases.drop("field", "terms").join(scores, "phrase").groupBy("word", "branch", "branch_size", "chunk_id", "entry_id").agg(F.count("*").alias("_met"), F.sum("weighted").alias("weighted"), F.sum("plain").alias("plain"))
+    words = branches.where("_met = branch_size").groupBy("word", "chunk_id", "entry_id").agg(F.sum("weighted").alias("weighted"), F.sum("plain").alias("plain"))
+    return words.join(chunks.select(F.col("id").alias("chunk_id"), "chunk_index"), "chunk_id")
 
 
 def groups_table(spark: SparkSession) -> DataFrame:
@@ -86,32 +101,41 @@ def _bit(clause: str = "clause") -> Column:
     return F.pow(F.lit(2), F.col(clause)).cast("int")
 
 
-def chosen_groups(satisfied: DataFrame) -> DataFrame:
+def chosen_groups(asked: DataFrame, scores: DataFrame) -> DataFrame:
     """(query_id, mask, size, first): the first group of words all of which some file holds; questions without any have no row."""
-    masks = satisfied.groupBy("query_id", "n_clauses", "entry_id").agg(F.bit_or(_bit()).alias("_held")).select("query_id", "n_clauses", "_held").distinct()
-    fitting = masks.join(F.broadcast(groups_table(satisfied.sparkSession)), "n_clauses").where("(_held & mask) = mask")
+    files = scores.select("word", "entry_id").distinct()
+    masks = asked.join(files, "word").groupBy("query_id", "n_clauses", "entry_id").agg(F.bit_or(_bit()).alias("_held")).groupBy("query_id", "n_clauses", "_held").agg(F.count("*"))
+    fitting = masks.join(F.broadcast(groups_table(asked.sparkSession)), "n_clauses").where("(_held & mask) = mask")
     return fitting.groupBy("query_id").agg(F.min(F.struct("ordinal", "mask", "size", "first")).alias("_g")).select("query_id", "_g.mask", "_g.size", "_g.first")
 
 
+def wanted_scores(asked: DataFrame, scores: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Scores of each question's words in the files that come into question: those that hold its whole group, or any word where it has no group."""
+    wanted = asked.select("query_id", "clause", "word").join(chosen, "query_id", "left").where(F.col("mask").isNull() | (F.col("mask").bitwiseAND(_bit()) > 0))
+    grouped, free = wanted.where("size > 1"), wanted.where("size is null or size = 1")
+    files = scores.select("word", "entry_id").distinct()
+    whole = grouped.select("query_id", "word", "size").join(files, "word").groupBy("query_id", "size", "entry_id").agg(F.count("*").alias("_n")).where("_n = size").select("query_id", "entry_id")
+    return grouped.join(whole, "query_id").join(scores, ["word", "entry_id"]).unionByName(free.join(scores, "word"))
+
+
 def best_chunks(scored: DataFrame, score: str) -> DataFrame:
     """The best chunk of each question and file: highest score, then first in the file."""
     order = Window.partitionBy("query_id", "entry_id").orderBy(F.desc(F.round(score, 9)), "chunk_index", "chunk_id")
     return scored.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
 
 
-def same_chunk(satisfied: DataFrame, chosen: DataFrame) -> DataFrame:
+def same_chunk(wanted: DataFrame) -> DataFrame:
     """(query_id, entry_id, chunk_id, score): files with a chunk that holds the whole chosen group; without a group, files with a chunk that holds any word."""
-    wanted = satisfied.join(chosen, "query_id", "left").where(F.col("mask").isNull() | ((F.col("mask").bitwiseAND(_bit())) > 0))
     per_chunk = wanted.groupBy("query_id", "entry_id", "chunk_id", "chunk_index", "mask").agg(F.bit_or(_bit()).alias("_held"), F.sum("weighted").alias("score"))
     return best_chunks(per_chunk.where("mask is null or _held = mask"), "score").select("query_id", "entry_id", "chunk_id", "score")
 
 
-def across_chunks(satisfied: DataFrame, chosen: DataFrame) -> DataFrame:
+def across_chunks(wanted: DataFrame) -> DataFrame:
     """(query_id, entry_id, chunk_id, score): files that hold the chosen group in any of their chunks. The score is the sum of the words' best chunks without field weights; the chunk is the first word's best."""
-    wanted = satisfied.join(chosen.where("size > 1"), "query_id").where(F.col("mask").bitwiseAND(_bit()) > 0)
-    whole = wanted.groupBy("query_id", "entry_id", "clause", "size").agg(F.max("plain").alias("_best")).groupBy("query_id", "entry_id", "size").agg(F.count("*").alias("_n"), F.sum("_best").alias("score")).where("_n = size")
-    first = best_chunks(wanted.where("clause = first"), "plain").select("query_id", "entry_id", "chunk_id")
-    return whole.select("query_id", "entry_id", "score").join(first, ["query_id", "entry_id"]).select("query_id", "entry_id", "chunk_id", "score")
+    grouped = wanted.where("size > 1")
+    summed = grouped.groupBy("query_id", "entry_id", "clause").agg(F.max("plain").alias("_best")).groupBy("query_id", "entry_id").agg(F.sum("_best").alias("score"))
+    first = best_chunks(grouped.where("clause = first"), "plain").select("query_id", "entry_id", "chunk_id")
+    return summed.join(first, ["query_id", "entry_id"]).select("query_id", "entry_id", "chunk_id", "score")
 
 
 def ranked(found: DataFrame, entries: DataFrame, limit: int) -> DataFrame:
@@ -122,11 +146,17 @@ def ranked(found: DataFrame, entries: DataFrame, limit: int) -> DataFrame:
     return joined.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def satisfied_clauses(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The clauses of questions, and their scores in the chunks that satisfy them, with chunk_index; both written once."""
-    asked = cut(clauses(queries))
-    scores = phrase_scores(asked, postings(chunks), chunk_stats(chunks))
-    return asked, cut(clause_scores(asked, scores).join(chunks.select(F.col("id").alias("chunk_id"), "chunk_index"), "chunk_id"))
+def prepared(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The clauses of questions with all phrases, the same with one row a word, and the scores of the words; each written once."""
+    phrases = cut(clauses(queries))
+    asked = cut(phrases.select("query_id", "n_clauses", "clause", "word", "token").distinct())
+    return phrases, asked, cut(word_scores(phrases, chunks))
+
+
+def clause_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, clause, chunk_id, entry_id, weighted, plain): the satisfied words of each question in each chunk."""
+    _, asked, scores = prepared(queries, chunks)
+    return asked.join(scores, "word").select("query_id", "clause", "chunk_id", "entry_id", "weighted", "plain")
 
 
 def search(queries: DataFrame, chunks: DataFrame, entries: DataFrame, limit: int = 5) -> DataFrame:
@@ -136,12 +166,13 @@ def search(queries: DataFrame, chunks: DataFrame, entries: DataFrame, limit: int
     files that hold the words in one chunk, 1 across chunks; scores compare within a stage. Questions without tokens or hits
     have no rows, a limit below 1 gives none at all. A file without text is found by its path, which is its excerpt then.
     """
-    asked, satisfied = satisfied_clauses(queries, chunks)
-    chosen = cut(chosen_groups(satisfied))
-    same = same_chunk(satisfied, chosen).withColumn("stage", F.lit(0))
-    across = across_chunks(satisfied, chosen).join(same, ["query_id", "entry_id"], "left_anti").withColumn("stage", F.lit(1))
+    _, asked, scores = prepared(queries, chunks)
+    chosen = cut(chosen_groups(asked, scores))
+    wanted = cut(wanted_scores(asked, scores, chosen))
+    same = cut(same_chunk(wanted)).withColumn("stage", F.lit(0))
+    across = across_chunks(wanted).join(same, ["query_id", "entry_id"], "left_anti").withColumn("stage", F.lit(1))
     hits = ranked(same.unionByName(across), entries, limit)
-    words = asked.select("query_id", "clause", "token").distinct().join(chosen.select("query_id", "mask"), "query_id", "left").where(F.col("mask").isNull() | (F.col("mask").bitwiseAND(_bit()) > 0))
+    words = asked.join(chosen.select("query_id", "mask"), "query_id", "left").where(F.col("mask").isNull() | (F.col("mask").bitwiseAND(_bit()) > 0))
     tokens = words.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("clause", "token"))), lambda w: w["token"]).alias("_tokens"))
     shown = hits.join(chunks.select(F.col("id").alias("chunk_id"), "content"), "chunk_id").join(tokens, "query_id")
     excerpt = text.excerpt(F.coalesce("content", F.lit("")), F.col("_tokens"))

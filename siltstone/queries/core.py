@@ -90,6 +90,11 @@ def _entries(spark: SparkSession, sf_dir: str, status: str = "status") -> DataFr
     return table(spark, sf_dir, "catalog_records").select("id", "relative_path", "absolute_path", F.expr(status).alias("status"))
 
 
+def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, asked, scores = search.prepared(_questions(spark, sf_dir), _chunks(spark, sf_dir))
+    return search.wanted_scores(asked, scores, search.chosen_groups(asked, scores))
+
+
 HIT_SQL = f"""select h.query_id, h.rank::int as rank, h.stage, h.relative_path, h.absolute_path, {sql.page_path("h.relative_path")} as wiki_path, h.status,
   case when coalesce(c.content, '') = '' then h.relative_path else {sql.excerpt("coalesce(c.content, '')", "g.tokens")} end as excerpt, round(h.score, 6) as score
 from hits_ranked h join chunks c on c.id = h.chunk_id join group_tokens g on g.query_id = h.query_id"""
@@ -111,28 +116,25 @@ def search_demoted_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {sql.scores(LOGGED)} select query_id, clause::int as clause, chunk_id, round(weighted, 6) as weighted, round(plain, 6) as plain from satisfied")
 def bm25_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every satisfied word of every logged question in every chunk, with and without field weights."""
-    _, satisfied = search.satisfied_clauses(_questions(spark, sf_dir), _chunks(spark, sf_dir))
-    return satisfied.select("query_id", "clause", "chunk_id", F.round("weighted", 6).alias("weighted"), F.round("plain", 6).alias("plain"))
+    return search.clause_scores(_questions(spark, sf_dir), _chunks(spark, sf_dir)).select("query_id", "clause", "chunk_id", F.round("weighted", 6).alias("weighted"), F.round("plain", 6).alias("plain"))
 
 
 @query(f"with {ENTRIES.format(status='status')}, {sql.ladder(LOGGED)} select query_id, mask::int as mask, size::int as size, first::int as first from chosen")
 def chosen_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of words that each question is answered with."""
-    return search.chosen_groups(search.satisfied_clauses(_questions(spark, sf_dir), _chunks(spark, sf_dir))[1])
+    return search.chosen_groups(*search.prepared(_questions(spark, sf_dir), _chunks(spark, sf_dir))[1:])
 
 
 @query(f"with {ENTRIES.format(status='status')}, {sql.ladder(LOGGED)} select query_id, entry_id, chunk_id, round(score, 6) as score from same")
 def best_chunk_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that hold the chosen words in one chunk (any word where there is no group), with their best chunk."""
-    satisfied = search.satisfied_clauses(_questions(spark, sf_dir), _chunks(spark, sf_dir))[1]
-    return search.same_chunk(satisfied, search.chosen_groups(satisfied)).withColumn("score", F.round("score", 6))
+    return search.same_chunk(_wanted(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 @query(f"with {ENTRIES.format(status='status')}, {sql.ladder(LOGGED)} select query_id, entry_id, chunk_id, round(a.score, 6) as score from across_all a join first_chunk using (query_id, entry_id)")
 def cross_chunk_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that hold all chosen words, in whichever of their chunks."""
-    satisfied = search.satisfied_clauses(_questions(spark, sf_dir), _chunks(spark, sf_dir))[1]
-    return search.across_chunks(satisfied, search.chosen_groups(satisfied)).withColumn("score", F.round("score", 6))
+    return search.across_chunks(_wanted(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 #: Hyphenated names of the catalog's own pages: phrases of neighbouring terms.
@@ -143,8 +145,7 @@ NAMES = f"select id as query_id, {sql.stem('relative_path')} as query_text from
 def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every file's own name as a question; hyphenated parts must stand next to each other."""
     names = table(spark, sf_dir, "catalog_records").select(F.col("id").alias("query_id"), text.stem(F.col("relative_path")).alias("query_text"))
-    _, satisfied = search.satisfied_clauses(names, _chunks(spark, sf_dir))
-    return satisfied.groupBy("query_id", "chunk_id").agg(F.count("*").alias("words"), F.round(F.sum("weighted"), 6).alias("score"))
+    return search.clause_scores(names, _chunks(spark, sf_dir)).groupBy("query_id", "chunk_id").agg(F.count("*").alias("words"), F.round(F.sum("weighted"), 6).alias("score"))
 
 
 @query(f"with {sql.INDEX} select term, count(distinct chunk_id) as n_chunks, count(*) as n_occurrences from posts group by 1")
