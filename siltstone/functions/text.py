@@ -68,17 +68,22 @@ def candidate_tokens(tokens: Column) -> Column:
     return F.when(F.size(tokens) > 8, F.concat(F.slice(tokens, 1, 4), F.slice(tokens, -4, 4))).otherwise(tokens)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def excerpt(content: Column, tokens: Column, length: int = EXCERPT_LENGTH) -> Column:
     """A window of the content around the first place where one of the tokens stands, white space collapsed, '…' at cut ends; '' for no content."""
-    lowered = F.lower(content)
-    places = F.filter(F.transform(tokens, lambda t: F.position(F.lower(t), lowered)), lambda p: p > 0)
-    at = F.coalesce(F.array_min(places), F.lit(1)) - 1
-    first = F.greatest(F.lit(0), at - length // 3)
-    end = F.least(F.length(content), first + length)
-    start = F.when(end - first < length, F.greatest(F.lit(0), end - length)).otherwise(first)
-    window = F.trim(F.regexp_replace(content.substr(start + 1, end - start), f"[{SPACE}]+", " "))
-    text = F.concat(F.when(start > 0, "… ").otherwise(""), window, F.when(end < F.length(content), " …").otherwise(""))
-    return F.when(F.length(content) > 0, text).otherwise("")
+    first_place = let(F.lower(content), lambda lowered: F.array_min(F.filter(F.transform(tokens, lambda t: F.position(F.lower(t), lowered)), lambda p: p > 0)))
+    first = F.greatest(F.lit(0), F.coalesce(first_place, F.lit(1)) - 1 - length // 3)
+    bounds = let(first, lambda f: let(F.least(F.length(content), f + length), lambda end: F.struct(F.when(end - f < length, F.greatest(F.lit(0), end - length)).otherwise(f).alias("start"), end.alias("end"))))
+
+    def show(b: Column) -> Column:
+        window = F.trim(F.regexp_replace(content.substr(b["start"] + 1, b["end"] - b["start"]), f"[{SPACE}]+", " "))
+        return F.concat(F.when(b["start"] > 0, "… ").otherwise(""), window, F.when(b["end"] < F.length(content), " …").otherwise(""))
+
+    return F.when(F.length(content) > 0, let(bounds, show)).otherwise("")
 
 
 def file_name(path: Column) -> Column:

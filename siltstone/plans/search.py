@@ -140,9 +140,12 @@ def across_chunks(wanted: DataFrame) -> DataFrame:
 
 def ranked(found: DataFrame, entries: DataFrame, limit: int) -> DataFrame:
     """found with its entry's columns and rank, the first `limit` of each question: stage, then files that couldn't be read last, then score, then path."""
-    demoted = F.when(F.col("status").isin(*DEMOTED), 1).otherwise(0)
-    joined = found.join(entries.select(F.col("id").alias("entry_id"), "relative_path", "absolute_path", "status"), "entry_id")
-    order = Window.partitionBy("query_id").orderBy("stage", demoted, F.desc(F.round("score", 9)), text.folded(F.col("relative_path")), "relative_path")
+    status = entries.select(F.col("id").alias("entry_id"), F.when(F.col("status").isin(*DEMOTED), 1).otherwise(0).alias("_demoted"))
+    # paths matter among equal scores only, so they are fetched for the few files that may be shown
+    best = F.rank().over(Window.partitionBy("query_id", "stage", "_demoted").orderBy(F.desc(F.round("score", 9))))
+    near = found.join(small(status, 16), "entry_id").withColumn("_k", best).where(F.col("_k") <= limit).drop("_k")
+    joined = near.join(entries.select(F.col("id").alias("entry_id"), "relative_path", "absolute_path", "status"), "entry_id")
+    order = Window.partitionBy("query_id").orderBy("stage", "_demoted", F.desc(F.round("score", 9)), text.folded(F.col("relative_path")), "relative_path")
     return joined.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
@@ -168,12 +171,15 @@ def search(queries: DataFrame, chunks: DataFrame, entries: DataFrame, limit: int
     """
     _, asked, scores = prepared(queries, chunks)
     chosen = cut(chosen_groups(asked, scores))
-    wanted = cut(wanted_scores(asked, scores, chosen))
-    same = cut(same_chunk(wanted)).withColumn("stage", F.lit(0))
-    across = across_chunks(wanted).join(same, ["query_id", "entry_id"], "left_anti").withColumn("stage", F.lit(1))
+    same = cut(same_chunk(wanted_scores(asked, scores, chosen)))
+    # questions with enough files of stage 0 need no others: whatever their scores, those would rank behind
+    enough = same.groupBy("query_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= limit).select("query_id")
+    short = cut(chosen.where("size > 1").join(enough, "query_id", "left_anti"))
+    across = across_chunks(wanted_scores(asked.join(small(short.select("query_id")), "query_id", "left_semi"), scores, short)).join(same, ["query_id", "entry_id"], "left_anti")
+    same, across = same.withColumn("stage", F.lit(0)), across.withColumn("stage", F.lit(1))
     hits = ranked(same.unionByName(across), entries, limit)
     words = asked.join(chosen.select("query_id", "mask"), "query_id", "left").where(F.col("mask").isNull() | (F.col("mask").bitwiseAND(_bit()) > 0))
     tokens = words.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("clause", "token"))), lambda w: w["token"]).alias("_tokens"))
     shown = hits.join(chunks.select(F.col("id").alias("chunk_id"), "content"), "chunk_id").join(tokens, "query_id")
-    excerpt = text.excerpt(F.coalesce("content", F.lit("")), F.col("_tokens"))
-    return shown.select("query_id", "rank", "stage", "relative_path", "absolute_path", text.page_path(F.col("relative_path")).alias("wiki_path"), "status", F.when(excerpt == "", F.col("relative_path")).otherwise(excerpt).alias("excerpt"), "score")
+    excerpt = F.when(F.length("content") > 0, text.excerpt(F.col("content"), F.col("_tokens"))).otherwise(F.col("relative_path"))
+    return shown.select("query_id", "rank", "stage", "relative_path", "absolute_path", text.page_path(F.col("relative_path")).alias("wiki_path"), "status", excerpt.alias("excerpt"), "score")
