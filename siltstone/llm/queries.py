@@ -120,4 +120,27 @@ def p8_shared_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_redacted, p3_found, p3_groups, p5_found, p6_packed, p6_usage, p7_found, p7_near, p8_found, p8_shared_share)}
-SQL: dict[str, str] = {}
+_WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+_RUNS = """select {key}, unnest(list_transform(range(1, len(w) - {less} + 1), lambda i: array_to_string(w[i : i + {less}], ' '))) as run from (select {key}, {words} as w from {table} where {text} <> '') where len(w) > {less}"""
+_P8 = """with lengths as (select distinct doc_id, text from documents where length(text) >= 400),
+windows as (select doc_id, text, unnest(range(0, length(text) - 399)) as i from lengths),
+hashed as (select doc_id, i, hash(substring(text, i + 1, 400)) as h from windows),
+held as (select h from hashed group by h having min(doc_id) <> max(doc_id)),
+shared as (select distinct doc_id, i from hashed join held using (h)),
+steps as (select doc_id, i, case when i <= 400 + lag(i) over (partition by doc_id order by i) then 0 else 1 end as fresh from shared),
+runs as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as run from steps),
+spans as (select doc_id, min(i) as span_start, max(i) + 400 as span_end from runs group by doc_id, run)
+"""
+SQL: dict[str, str] = {
+    "p3_found": f"""with sets as (select distinct id, run from ({_RUNS.format(key='id', less=2, words=_WORDS.format('content'), table='catalog_records', text='content')}) where id in
+  (select id from catalog_records where len({_WORDS.format('content')}) >= 25)),
+sizes as (select id, count(*) as n from sets group by id),
+common as (select a.id as id_a, b.id as id_b, count(*) as n from sets a join sets b on a.run = b.run and a.id < b.id group by 1, 2)
+select id_a, id_b from common c join sizes x on x.id = id_a join sizes y on y.id = id_b where c.n >= 0.6 * (x.n + y.n - c.n) - 1e-9""",
+    "p7_found": f"""with docs as ({_RUNS.format(key='doc_id', less=12, words=_WORDS.format('text'), table='documents', text='text')}), items as ({_RUNS.format(key='item_id', less=12, words=_WORDS.format('passage'), table='eval_items', text='passage')})
+select distinct doc_id, item_id from docs join items using (run)""",
+    "p8_found": _P8 + "select * from spans",
+    "p8_shared_share": _P8
+    + """, shares as (select doc_id, sum(span_end - span_start)::bigint as shared from spans group by 1)
+select doc_id, coalesce(length(text), 0) as n_chars, coalesce(shared, 0) as shared_chars, case when length(text) > 0 then coalesce(shared, 0) / length(text) else 0 end as shared_ratio from documents left join shares using (doc_id)""",
+}
