@@ -48,7 +48,7 @@ def phrase_hits(asked: DataFrame, posts: DataFrame) -> DataFrame:
     """
     words = asked.select("phrase", F.col("field").alias("_field"), F.size("terms").alias("_n"), F.posexplode("terms").alias("_at", "term")).distinct()
     words = cut(words)
-    met = cut(posts.join(small(words.select("term").distinct(), 100), "term", "left_semi"))
+    met = cut(posts.join(small(words.select("term").distinct(), F.octet_length("term") + 32), "term", "left_semi"))
     counted = words.join(met.groupBy("term").agg(F.count("*").alias("_times")), "term", "left")
     rarest = counted.groupBy("phrase").agg(F.min(F.struct(F.coalesce("_times", F.lit(0)).alias("times"), F.col("_at").alias("at"), "term", "_field", F.col("_n").alias("n"))).alias("_r")).where("_r.times > 0")
     place = rarest.select("phrase", "_r.term", F.col("_r._field").alias("_field"), F.col("_r.n").alias("_n"), F.col("_r.at").alias("_at")).join(met, "term").where("_field = '' or _field = field")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side with at most this many rows and bytes may be broadcast.
@@ -35,7 +35,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, row_bytes: int = 64) -> DataFrame:
-    """df with a broadcast hint if counting shows that it is small enough, df as it is otherwise; pass a df that is cheap to count, such as the result of cut()."""
-    most = min(BROADCAST_ROWS, BROADCAST_BYTES // row_bytes)
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, row_bytes: int | Column = 64) -> DataFrame:
+    """df with a broadcast hint if its rows and bytes, counted in full, are within the bounds, df as it is otherwise.
+
+    row_bytes is the size of a row, or a column that gives it where rows hold texts or arrays. Pass a df that is cheap to count,
+    such as the result of cut().
+    """
+    size = row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)
+    rows, total = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and total <= BROADCAST_BYTES else df
