@@ -233,7 +233,7 @@ def shared_spans(df: DataFrame, key: str, text: str, length: int = 400) -> DataF
     cuts = cut(single.mapInArrow(_cut_task(length), "doc_id bigint, cut bigint, at bigint, first bigint, last bigint"))
     held = cuts.groupBy("cut").agg(F.count("*").alias("_n"), F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a <> _b").select("cut", (F.col("_n") > HOT).alias("hot"))
     wanted = cut(cuts.join(held, "cut").groupBy("doc_id").agg(F.collect_list(F.struct("cut", "at", "first", "last", "hot")).alias("_cuts")))
-    blocks = single.join(small(wanted, row_bytes=400), "doc_id").select("doc_id", "text", "_cuts").mapInArrow(_block_task(length), "cut bigint, doc_id bigint, at bigint, first bigint, block string, hot boolean")
+    blocks = single.join(small(wanted, F.size("_cuts") * 48 + 32), "doc_id").select("doc_id", "text", "_cuts").mapInArrow(_block_task(length), "cut bigint, doc_id bigint, at bigint, first bigint, block string, hot boolean")
     spans = "doc_id bigint, span_start bigint, span_end bigint"
     found = blocks.where("not hot").repartition("cut").sortWithinPartitions("cut").mapInArrow(_parse_task(length), spans)
     if not held.where("hot").isEmpty():
