@@ -103,19 +103,18 @@ def _bit(clause: str = "clause") -> Column:
 
 def chosen_groups(asked: DataFrame, scores: DataFrame) -> DataFrame:
     """(query_id, mask, size, first): the first group of words all of which some file holds; questions without any have no row."""
-    files = scores.select("word", "entry_id").distinct()
-    masks = asked.join(files, "word").groupBy("query_id", "n_clauses", "entry_id").agg(F.bit_or(_bit()).alias("_held")).groupBy("query_id", "n_clauses", "_held").agg(F.count("*"))
+    # dealt by file first, so that the many pairs of questions and files needn't be shuffled
+    files = scores.select("word", "entry_id").distinct().repartition("entry_id")
+    held = files.join(small(asked.select("query_id", "n_clauses", "clause", "word")), "word").groupBy("query_id", "n_clauses", "entry_id").agg(F.bit_or(_bit()).alias("_held"))
+    masks = held.groupBy("query_id", "n_clauses", "_held").agg(F.count("*"))
     fitting = masks.join(F.broadcast(groups_table(asked.sparkSession)), "n_clauses").where("(_held & mask) = mask")
     return fitting.groupBy("query_id").agg(F.min(F.struct("ordinal", "mask", "size", "first")).alias("_g")).select("query_id", "_g.mask", "_g.size", "_g.first")
 
 
 def wanted_scores(asked: DataFrame, scores: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Scores of each question's words in the files that come into question: those that hold its whole group, or any word where it has no group."""
-    wanted = asked.select("query_id", "clause", "word").join(chosen, "query_id", "left").where(F.col("mask").isNull() | (F.col("mask").bitwiseAND(_bit()) > 0))
-    grouped, free = wanted.where("size > 1"), wanted.where("size is null or size = 1")
-    files = scores.select("word", "entry_id").distinct()
-    whole = grouped.select("query_id", "word", "size").join(files, "word").groupBy("query_id", "size", "entry_id").agg(F.count("*").alias("_n")).where("_n = size").select("query_id", "entry_id")
-    return grouped.join(whole, "query_id").join(scores, ["word", "entry_id"]).unionByName(free.join(scores, "word"))
+    """Scores of the words of each question's group, or of all its words where it has none, dealt by file."""
+    words = asked.select("query_id", "clause", "word").join(chosen, "query_id", "left").where(F.col("mask").isNull() | (F.col("mask").bitwiseAND(_bit()) > 0))
+    return scores.repartition("entry_id").join(small(cut(words)), "word")
 
 
 def best_chunks(scored: DataFrame, score: str) -> DataFrame:
@@ -132,7 +131,8 @@ def same_chunk(wanted: DataFrame) -> DataFrame:
 
 def across_chunks(wanted: DataFrame) -> DataFrame:
     """(query_id, entry_id, chunk_id, score): files that hold the chosen group in any of their chunks. The score is the sum of the words' best chunks without field weights; the chunk is the first word's best."""
-    grouped = wanted.where("size > 1")
+    held = F.bit_or(_bit()).over(Window.partitionBy("query_id", "entry_id"))
+    grouped = wanted.where("size > 1").withColumn("_held", held).where("_held = mask")
     summed = grouped.groupBy("query_id", "entry_id", "clause").agg(F.max("plain").alias("_best")).groupBy("query_id", "entry_id").agg(F.sum("_best").alias("score"))
     first = best_chunks(grouped.where("clause = first"), "plain").select("query_id", "entry_id", "chunk_id")
     return summed.join(first, ["query_id", "entry_id"]).select("query_id", "entry_id", "chunk_id", "score")
