@@ -184,28 +184,151 @@ def found_secrets(df: DataFrame) -> DataFrame:
     return placed.unionByName(again).distinct()
 
 
+_BEGIN, _END = (re.compile(rf"-----{word} (?:[A-Z0-9]+ )*PRIVATE KEY-----") for word in ("BEGIN", "END"))
+#: Line ends of a key's body: of the text, or written as escapes in a literal.
+_BREAK = re.compile(r"\r\n?|\n|(?:\\r)?\\n|\\r")
+_BASE64 = re.compile(r"[+/=]*[A-Za-z0-9][A-Za-z0-9+/=]*")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_HEADER = re.compile(r"\W*[A-Z][A-Za-z]*-[A-Z]\w*: ")
+#: Widths of the lines of encoded keys, also behind the sign of an added line; a run of LONG characters or more of both cases is part of a key anyway.
+_WIDTHS, LONG = (64, 65, 70, 71, 76, 77), 32
+
+
+def _body_lines(text: str, a: int, b: int) -> list[tuple[list[tuple[int, int]], bool, bool]]:
+    """(base64 runs, whether a run stands alone, whether the line says nothing of the body's end) of the lines of text[a:b]."""
+    bounds, at = [], a
+    for m in _BREAK.finditer(text, a, b):
+        bounds.append((at, m.start()))
+        at = m.end()
+    out = []
+    for x, y in [*bounds, (at, b)]:
+        runs = [m.span() for m in _BASE64.finditer(text, x, y)]
+        alone = len(runs) == 1 and not any(c.isalnum() for c in text[x : runs[0][0]] + text[runs[0][1] : y])
+        out.append((runs, alone, not any(c.isalnum() for c in text[x:y]) or bool(_HEADER.match(text, x, y))))
+    return out
+
+
+def _wordish(run: str) -> bool:
+    return len(run) < LONG and bool(_WORD.fullmatch(run))
+
+
+def _closed_body(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """Spans of the body between both markers: all runs but words in lines that hold other text, and short lines that go on from the body or end it."""
+    lines, out, before = _body_lines(text, a, b), [], False
+    last = max((k for k, line in enumerate(lines) if line[0]), default=-1)
+    for k, (runs, alone, _) in enumerate(lines):
+        taken = [(x, y) for x, y in runs if y - x >= 8 and (alone or not _wordish(text[x:y]))]
+        if not taken and alone and (before or out and k == last):
+            # padded to a multiple of four characters; a word by itself may be one that an editor put in
+            taken = [(x, y) for x, y in runs if text[y - 1] == "=" or not _wordish(text[x:y]) or k == last and (y - x) % 4 == 0]
+        before = bool(taken) or before and not runs
+        out += taken
+    return out
+
+
+def _open_body(text: str, a: int, b: int, back: bool) -> list[tuple[int, int]]:
+    """Spans of the body next to a marker without its counterpart, which text[a:b] follows, or precedes if back.
+
+    Lines that touch the marker or the body are part of it if they hold a long run or nothing but a run that is no word. Behind
+    lines of other text only runs as wide as the body's lines are.
+    """
+    lines, out, width, near = _body_lines(text, a, b), [], 0, True
+    for runs, alone, silent in reversed(lines) if back else lines:
+        taken = []
+        for x, y in runs:
+            run, n = text[x:y], y - x
+            if n >= LONG and re.search("[a-z]", run) and re.search("[A-Z]", run):
+                if near or (n == width if width else n in _WIDTHS):
+                    taken.append((x, y))
+            elif near and alone and (n >= 8 or width or back) and (run.endswith("=") or not _wordish(run)):
+                taken.append((x, y))
+        width = max([width, *(y - x for x, y in taken)])
+        near = bool(taken) or near and silent
+        out += taken
+    return out
+
+
+def key_spans(text: str) -> list[tuple[int, int]]:
+    """Spans of the encoded bodies of the private keys in text; either marker may be missing."""
+    if "PRIVATE KEY-----" not in text:
+        return []
+    marks = sorted([(m.start(), m.end(), True) for m in _BEGIN.finditer(text)] + [(m.start(), m.end(), False) for m in _END.finditer(text)])
+    out, at, opened = [], 0, False
+    for a, b, begins in [*marks, (len(text), len(text), True)]:
+        if opened and not begins:
+            out += _closed_body(text, at, a)
+        elif opened:
+            out += _open_body(text, at, a, False)
+        elif not begins:
+            out += _open_body(text, at, a, True)
+        at, opened = b, begins
+    return sorted(out)
+
+
+def _whole_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sources, ids, keys = [], [], []
+        for source, pieces in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            at, starts, parts = 0, {}, []
+            for p in pieces:
+                # a piece delivered twice stands once in the whole text
+                if (p["piece"], p["text"]) not in starts:
+                    starts[p["piece"], p["text"]] = at
+                    parts.append(p["text"])
+                    at += len(p["text"])
+            spans = key_spans("".join(parts))
+            for p in pieces:
+                start = starts[p["piece"], p["text"]]
+                end = start + len(p["text"])
+                if mine := [[max(a, start) - start, min(b, end) - start] for a, b in spans if a < end and b > start]:
+                    sources.append(source)
+                    ids.append(p["row_id"])
+                    keys.append(mine)
+        yield pa.RecordBatch.from_arrays([pa.array(sources, pa.string()), pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.list_(pa.int32())))], ["source_table", "row_id", "keys"])
+
+
+def _keys_of_pieces(df: DataFrame) -> DataFrame:
+    """(source_table, row_id, keys): the key bodies of each piece, found in the whole texts of which any piece holds one side of a marker's cut."""
+    pieces = df.where("whole is not null").select("source_table", "whole", "piece", "row_id", "text")
+    marked = cut(pieces.where(F.col("text").contains("-----BEGIN") | F.col("text").contains("PRIVATE KEY-----") | F.col("text").contains("-----END")).select("source_table", "whole").distinct())
+    of_marked = pieces.join(small(marked), ["source_table", "whole"], "left_semi").distinct()
+    wholes = of_marked.groupBy("source_table", "whole").agg(F.sort_array(F.collect_list(F.struct("piece", "row_id", "text"))).alias("pieces")).select("source_table", "pieces")
+    return wholes.mapInArrow(_whole_task, "source_table string, row_id bigint, keys array<array<int>>")
+
+
 def _mask_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for text, secrets in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            out.append(redact(text, secrets) if secrets else text)
+        texts, secrets, keys = (batch.column(k).to_pylist() for k in (2, 3, 4))
+        out = [t if t is None else redact(t, s or [], k or []) for t, s, k in zip(texts, secrets, keys)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["source_table", "row_id", "text"])
 
 
-_KEY_BODY = re.compile(r"(-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----)(.*?)(-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----)", re.S)
-
+def redact(text: str, secrets: list[str], keys: list[list[int]] = ()) -> str:
+    """text with every occurrence of the secrets masked; of private keys the body goes and line ends, markers and comment signs stay.
 
-def redact(text: str, secrets: list[str]) -> str:
-    """text with every occurrence of the secrets masked; of private keys the body goes and line ends, markers and comment signs stay."""
-    text = _KEY_BODY.sub(lambda m: m.group(1) + re.sub(r"[A-Za-z0-9+/=]{8,}", MASK, m.group(2)) + m.group(3), text)
+    keys are spans of key bodies that are known from the text around this one.
+    """
+    plain = [s for s in secrets if not s.startswith("-----")]
+    spans = key_spans(text) + [(a, b) for a, b in keys] + (occurrences(text, plain) if plain else [])
     out, at = [], 0
-    for a, b in occurrences(text, [s for s in secrets if not s.startswith("-----")] or ["\0"]):
-        out += [text[at:a], MASK]
-        at = b
+    for a, b in sorted(spans):
+        if a >= at:
+            out += [text[at:a], MASK]
+        at = max(at, b)
     return "".join([*out, text[at:]])
 
 
 def redacted(df: DataFrame) -> DataFrame:
-    """df(source_table, row_id, text) with the secrets of each text masked; texts without secrets, nulls and repeated rows stay as they are."""
-    per_text = cut(found_secrets(df).groupBy("source_table", "row_id").agg(F.collect_list("value").alias("secrets")))
-    return df.join(_small_lists(per_text), ["source_table", "row_id"], "left").select("source_table", "row_id", "text", "secrets").mapInArrow(_mask_task, "source_table string, row_id bigint, text string")
+    """df(source_table, row_id, text) with the secrets of each text masked; texts without secrets, nulls and repeated rows stay as they are.
+
+    Where df has the columns whole and piece, texts of one whole (null: a text of its own) are its pieces in order of piece, and
+    private keys are found in the pieces put together.
+    """
+    per_text = cut(found_secrets(df.select("source_table", "row_id", "text")).groupBy("source_table", "row_id").agg(F.collect_list("value").alias("secrets")))
+    out = df.join(_small_lists(per_text), ["source_table", "row_id"], "left")
+    if "whole" in df.columns:
+        keys = cut(_keys_of_pieces(df).groupBy("source_table", "row_id").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys")))
+        out = out.join(small(keys, 24 * F.size("keys") + 64), ["source_table", "row_id"], "left")
+    else:
+        out = out.withColumn("keys", F.lit(None).cast("array<array<int>>"))
+    return out.select("source_table", "row_id", "text", "secrets", "keys").mapInArrow(_mask_task, "source_table string, row_id bigint, text string")

@@ -94,6 +94,31 @@ def test_secrets_found_rescanned_and_redacted(spark):
     assert secrets.found_secrets(sourced(spark, rows).limit(0)).count() == 0
 
 
+def test_keys_without_a_marker_and_across_pieces(spark):
+    r = random.Random(3)
+    lines = ["".join(r.choice("ABCDefgh0123ijklMNOP4567+/") for _ in range(63)) + "x" for _ in range(6)]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    hidden = [secrets.MASK] * 6
+    opened = "\n".join(["a = 1", begin, *lines, "sum = " + "ab12" * 16, "done = True"])
+    noisy = "\n".join(["# " + x for x in [begin, *lines[:2], "duplicate junction", *lines[2:]]] + ["return template"])
+    short = "\n".join([begin, *lines, "Qz9=", end, "tail"])
+    tail = "\n".join([*lines, "Qz9=", end, "tail"])
+    escaped = "\\n".join([f'k = "{begin}', *lines, f'{end}"'])
+    apart = "\n".join([begin, *lines, "print(notebook)", "x = scheduler", begin, *lines, end])
+    assert secrets.redact(opened, []) == "\n".join(["a = 1", begin, *hidden, "sum = " + "ab12" * 16, "done = True"])
+    assert secrets.redact(noisy, []) == "\n".join(["# " + x for x in [begin, *hidden[:2], "duplicate junction", *hidden[2:]]] + ["return template"])
+    assert secrets.redact(short, []) == "\n".join([begin, *hidden, secrets.MASK, end, "tail"])
+    assert secrets.redact(tail, []) == "\n".join([*hidden, secrets.MASK, end, "tail"])
+    assert secrets.redact(escaped, []) == "\\n".join([f'k = "{begin}', *hidden, f'{end}"'])
+    assert secrets.redact(apart, []) == "\n".join([begin, *hidden, "print(notebook)", "x = scheduler", begin, *hidden, end])
+    pieces = [f"x\n{begin}\n{lines[0]}\n{lines[1][:30]}", f"{lines[1][30:]}\n{lines[2]}\n", "\n".join(lines[3:]) + f"\n{end[:16]}", f"{end[16:]}\nlast scheduler"]
+    rows = [("catalog_chunks", 10 + k, t, 5, k) for k, t in enumerate(pieces)] + [("catalog_chunks", 11, pieces[1], 5, 1), ("catalog_chunks", 20, lines[0], 6, 0), ("catalog_records", 30, opened, None, None)]
+    r.shuffle(rows)
+    got = Counter((x.row_id, x.text) for x in secrets.redacted(spark.createDataFrame(rows, "source_table string, row_id bigint, text string, whole bigint, piece int")).collect())
+    m = secrets.MASK
+    assert got == Counter([(10, f"x\n{begin}\n{m}\n{m}"), (11, f"{m}\n{m}\n"), (11, f"{m}\n{m}\n"), (12, f"{m}\n{m}\n{m}\n{end[:16]}"), (13, pieces[3]), (20, lines[0]), (30, secrets.redact(opened, []))])
+
+
 def test_shared_placeholders_are_suppressed_but_copies_count_once(spark):
     shared = [(i, f"file {i}\npassword = letmein{1}\n") for i in range(secrets.MAX_OWNERS + 5)]
     copied = [(100 + i, "one file\npassword = hunter77\n") for i in range(30)]
