@@ -18,7 +18,6 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 TRAINING_LINES, EPOCHS = 1_500, 6
 #: Name parts used at most; the rest of a longer list is left out of the lexicon, which only weakens a feature.
@@ -74,11 +73,16 @@ _LIST = re.compile(r"(?:[Aa]ttendees|참석):[^.!?]{2,40}[;,]\s*$")
 _NUMBER_LEFT, _ID_LEFT, _PHONE_LEFT = re.compile(ABOUT_NUMBER), re.compile(ABOUT_ID), re.compile(ABOUT_PHONE)
 _DETERMINER = frozenset(DETERMINERS)
 
-#: A line without one of these holds no candidate worth a score.
-SUSPECT = (
-    r"[@\x{ff20}]|\(at\)|\[at\]|골뱅이|[\x{ff10}-\x{ff19}]{3}|(?<![\d.])\d{2,6} ?[-. )] ?\d{3,7}(?!T)|\d{11}|\b[A-Z]{1,2}\d{7,8}\b|P\. ?O\. Box|\d+ [A-Z]\w+ (?:\w+ )?(?:" + STREETS + r")\b|[가-힣](?:로|길|동) ?\d"
-    r"|regards|[Oo]wner:|[Cc][Cc]:|[Aa]ttendees:|\bPer [A-Za-z]|Dear |Deliver to|assignee=|ask for|spoke with|signed the|참석|담당자|작성자|인수자|수령인|보낸사람|어제|님|과장|팀장|에게| 서명|성명"
-)
+#: What a line must hold for a match of EMAIL, of ADDRESS_KO, of PASSPORT or a format of numbers, of BEFORE_NAME, and for a Korean name with a feature of its surroundings.
+_AT_SIGNS = ("@", "＠", "(at)", "[at]", "{at}", " at ", "골뱅이")
+_DIGIT, _KO_HOUSE = re.compile(r"\d"), re.compile(r"[로길] ?\d|[동리가] \d")
+_SEVEN_DIGITS = re.compile(r"\d(?:\D{0,3}\d){6}")
+_BEFORE_PARTS = ("egards,", "incerely,", "wner:", "c:", "C:", "ttendees:", "rom:", "o:", "uthor:", "eviewer:", "ontact:", "Per", "Dear", "Hi", "Hello", "eliver", "assignee=", "ask for", "spoke with")
+_CONTEXT_KO = re.compile(rf"(?:{BEFORE_NAME_KO})\s*(?=[{''.join(sorted({x[0] for x in SURNAMES}))}])|(?:[Aa]ttendees|참석):|(?<=[가-힣])(?:{AFTER_NAME_KO})")
+_LISTED_LOWER = re.compile(r"(?<![\w@.+-])[a-z]{3,} (?:[a-z]\. )?[a-z]{3,}(?=,(?:\d{3}|QX|M\d)| signed the)")
+_AFTER_LOWER = re.compile(r",(?:\d{3}|QX|M\d)| signed the")
+#: No format of a number is shorter than this, or has as few digits as these.
+SHORTEST_FORMAT, _FEW_DIGITS = 8, frozenset(f"digits{n}" for n in range(7))
 
 
 @dataclass
@@ -145,11 +149,31 @@ def _name_features(text: str, a: int, b: int, lexicon: Lexicon, korean: bool) ->
     return ["name:" + x for x in f]
 
 
-def candidates(text: str, lexicon: Lexicon) -> list[Candidate]:
-    """Bounded candidate spans of a line; they may overlap and contradict each other."""
+def hopeless_forms(weights: dict[str, float]) -> frozenset[str]:
+    """Forms of candidates that no other features lift above zero under these weights, so that no segmentation takes them.
+
+    ko and en with a form: names without a listed given name (ko) or part (en) and without a feature of their surroundings;
+    a number of digits: numbers of no format.
+    """
+    w = lambda f: weights.get(f, 0.0)
+    lift = lambda prefix, *fs: sum(max(0.0, w(prefix + f)) for f in fs)
+    n, bounds = "name:", {}
+    for form in ("spaced", "joined"):
+        short = w(n + "name") + w(n + "ko") + w(n + "unknown") + w(n + "unknown-context") + w(n + form) + lift(n, "known_family", "goes_on", "starts", "not_after")
+        bounds |= {f"ko_{form}": short, f"ko_{form}_long": short + w(n + "long_family")}
+    for form in ("initial", "comma", "plain"):
+        rest = lift(n, "starts", "not_after", "determiner", "capital_follows", *("three",) * (form == "initial")) + max(0.0, w(n + "upper"), w(n + "lower"))
+        bounds["en_" + form] = w(n + "name") + w(n + "en") + w(n + "known0") + w(n + "known0-context") + w(n + form) + rest
+    for digits in range(15):
+        bounds[f"digits{digits}"] = max(w(f"{k}:{k}") + w(f"{k}:format_none") + w(f"{k}:digits{digits}") + max(w(f"{k}:about_nothing"), lift(k, *(f":about_{x}" for x in ("number", "id", "phone", "cell")))) for k in ("phone", "id_number"))
+    return frozenset(form for form, bound in bounds.items() if bound < -1e-6)
+
+
+def candidates(text: str, lexicon: Lexicon, hopeless: frozenset[str] = frozenset()) -> list[Candidate]:
+    """Bounded candidate spans of a line, without those of hopeless forms; they may overlap and contradict each other."""
     out: list[Candidate] = []
     add = lambda a, b, kind, f: out.append(Candidate(a, b, kind, f))
-    for m in EMAIL.finditer(text):
+    for m in EMAIL.finditer(text) if any(x in text for x in _AT_SIGNS) else ():
         left, right = text[max(0, m.start() - 60) : m.start()], text[m.end() : m.end() + 12]
         f = ["email", "sign" if "@" in m.group() else "obfuscated"]
         if re.search(r"://\S*$", left):
@@ -161,20 +185,26 @@ def candidates(text: str, lexicon: Lexicon) -> list[Candidate]:
         if re.match(r"[/]\S", right):
             f.append("path_follows")
         add(m.start(), m.end(), "email", ["email:" + x for x in f])
-    numbers = [(m.start(), m.end()) for m in NUMBER.finditer(text)]
+    ascii_only = text.isascii()
+    has_digit = bool(_DIGIT.search(text))
+    has_seven = has_digit and bool(_SEVEN_DIGITS.search(text))
+    numbers = [(m.start(), m.end()) for m in NUMBER.finditer(text)] if has_seven or has_digit and not _FEW_DIGITS <= hopeless else []
     for a, b in numbers:
         plain = text[a:b].translate(_WIDE)
+        digits = f"digits{min(14, sum(c.isdigit() for c in plain))}"
+        kinds = [n for n, p in FORMATS if p.fullmatch(plain)] if b - a >= SHORTEST_FORMAT else []
+        if not kinds and digits in hopeless:
+            continue
         left = text[max(0, a - 40) : a]
         about = ["number"] * bool(_NUMBER_LEFT.search(left)) + ["id"] * bool(_ID_LEFT.search(left)) + ["phone"] * bool(_PHONE_LEFT.search(left)) + ["cell"] * bool(re.search(r"[,|]\s?$", left))
-        kinds = [n for n, p in FORMATS if p.fullmatch(plain)]
         for kind in ("phone", "id_number"):
-            f = [kind, *(f"format_{k}" for k in kinds or ["none"]), *(f"about_{x}" for x in about or ["nothing"]), f"digits{min(14, sum(c.isdigit() for c in plain))}"]
+            f = [kind, *(f"format_{k}" for k in kinds or ["none"]), *(f"about_{x}" for x in about or ["nothing"]), digits]
             add(a, b, kind, [f"{kind}:{x}" for x in f])
-    for m in PASSPORT.finditer(text):
+    for m in PASSPORT.finditer(text) if has_seven else ():
         left = text[max(0, m.start() - 40) : m.start()]
         f = ["passport", *(["about_number"] if _NUMBER_LEFT.search(left) else []), *(["about_id"] if _ID_LEFT.search(left) else []), *(["cell"] if re.search(r"[,|]\s?$", left) else [])]
         add(m.start(), m.end(), "id_number", ["id_number:" + x for x in f])
-    for m in ADDRESS_EN.finditer(text):
+    for m in ADDRESS_EN.finditer(text) if has_digit else ():
         ends = {m.end()}
         ends |= {m.start() + c.start() for c in re.finditer(r", |(?<=[a-z]) (?=[A-Z])| \d{4,5}$", m.group())}
         for end in ends:
@@ -188,15 +218,17 @@ def candidates(text: str, lexicon: Lexicon) -> list[Candidate]:
             if end < m.end() and re.match(r",? ?(?:" + "|".join(DETERMINERS) + r")\b", text[end : end + 12]):
                 f.append("before_determiner")
             add(m.start(), end, "address", ["address:" + x for x in f])
-    for m in ADDRESS_KO.finditer(text):
+    for m in ADDRESS_KO.finditer(text) if has_digit and not ascii_only and _KO_HOUSE.search(text) else ():
         span = m.group()
         f = ["address", "ko"]
         f += ["district"] * bool(re.search(r"[가-힣][구군] ", span)) + ["city"] * bool(re.search(r"(?:시|도) ", span)) + ["code"] * bool(re.match(r"[(\[]?\d{5}", span)) + ["unit"] * bool(re.search(r"\d+(?:호|층)$", span))
         add(m.start(), m.end(), "address", ["address:" + x for x in f])
     seen = set()
-    for m in NAME_KO.finditer(text):
+    surrounded = not ascii_only and bool(_CONTEXT_KO.search(text))
+    for m in NAME_KO.finditer(text) if not ascii_only else ():
         a, b = m.start(), m.start() + len(m.group(1)) + len(m.group(2)) + 2
-        if len(m.group(3)) == 2:
+        form = ("ko_spaced" if m.group(2) else "ko_joined") + "_long" * (len(m.group(1)) == 2)
+        if len(m.group(3)) == 2 and (surrounded or form not in hopeless or text[b - 2 : b] in lexicon.given):
             add(a, b, "name", _name_features(text, a, b, lexicon, True))
         for n in (1, 3):  # given names of another length only if they are listed
             if text[b - 2 : b - 2 + n] in lexicon.given and len(text) >= b - 2 + n:
@@ -205,15 +237,22 @@ def candidates(text: str, lexicon: Lexicon) -> list[Candidate]:
     while m := NAME_EN.search(text, at):
         at = m.start() + 1
         seen.add((m.start(), m.end()))
-    for t in NAME_AFTER.finditer(text):
+    announces = any(x in text for x in _BEFORE_PARTS)
+    for t in NAME_AFTER.finditer(text) if announces else ():
         if m := _LOWER.match(text, t.end()):
             seen.add((m.start(), m.end()))
-    for t in re.finditer(r";\s+", text):
+    for t in re.finditer(r";\s+", text) if "ttendees:" in text or "참석:" in text else ():
         if (m := _LOWER.match(text, t.end())) and _LIST.search(text[max(0, t.end() - 48) : t.end()]):
             seen.add((m.start(), m.end()))
-    for m in re.finditer(r"(?<![\w@.+-])[a-z]{3,} (?:[a-z]\. )?[a-z]{3,}(?=,(?:\d{3}|QX|M\d)| signed the)", text):
+    for m in _LISTED_LOWER.finditer(text) if _AFTER_LOWER.search(text) else ():
         seen.add((m.start(), m.end()))
+    surrounded = announces or "참석:" in text
     for a, b in sorted(seen):
+        if not surrounded and not _RIGHT[0].match(text, b, b + 40):
+            span = text[a:b]
+            form = "en_initial" if re.search(r"\b[A-Za-z]\.", span) else "en_comma" if "," in span else "en_plain"
+            if form in hopeless and not any(p.lower() in lexicon.given or p.lower() in lexicon.family for p in re.findall(r"[A-Za-z]+", span)):
+                continue
         add(a, b, "name", _name_features(text, a, b, lexicon, False))
     return out
 
@@ -285,8 +324,9 @@ def train(lines: list[tuple[str, list[tuple[str, str]]]], lexicon: Lexicon) -> d
     return dict(weights)
 
 
-def found(text: str, lexicon: Lexicon, weights: dict[str, float]) -> list[Candidate]:
-    cands = candidates(text, lexicon)
+def found(text: str, lexicon: Lexicon, weights: dict[str, float], hopeless: frozenset[str] = frozenset()) -> list[Candidate]:
+    """The spans of a line's best segmentation; hopeless, of hopeless_forms(weights), only saves time."""
+    cands = candidates(text, lexicon, hopeless)
     return best(cands, [_score(c, weights) for c in cands])
 
 
@@ -367,15 +407,20 @@ def training_lines(lexicon_rows: list[tuple[str, str, str]], count: int = TRAINI
     return [line() for _ in range(count)]
 
 
+_LINE_END = re.compile(r"\r?\n")
+
+
 def _task(lexicon: Lexicon, weights: dict[str, float]):
+    hopeless = hopeless_forms(weights)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, kinds, values = [], [], []
-            for k, line in enumerate(batch.column(2).to_pylist()):
-                for c in found(line, lexicon, weights):
+            for k, text in enumerate(batch.column(2).to_pylist()):
+                for kind, value in {(c.kind, line[c.start : c.end]): 0 for line in _LINE_END.split(text or "") for c in found(line, lexicon, weights, hopeless)}:
                     rows.append(k)
-                    kinds.append(c.kind)
-                    values.append(line[c.start : c.end])
+                    kinds.append(kind)
+                    values.append(value)
             taken = batch.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(kinds, pa.string()), pa.array(values, pa.string())], ["source_table", "row_id", "pii_type", "found_text"])
 
@@ -393,37 +438,35 @@ def model(name_parts: DataFrame) -> tuple[Lexicon, dict[str, float]]:
 def personal_spans(df: DataFrame, name_parts: DataFrame) -> DataFrame:
     """(source_table, row_id, pii_type, found_text), distinct, for df(source_table, row_id, text).
 
-    pii_type is name, email, phone, id_number or address; found_text stands so in the text. Lines are scored one by one: no value
-    crosses a line end. Null and empty texts give no rows, repeated rows none of their own.
+    pii_type is name, email, phone, id_number or address; found_text stands so in the text. All lines are scored, one by one: no
+    value crosses a line end. Null and empty texts give no rows, repeated rows none of their own.
     """
     lexicon, weights = model(name_parts)
     sent = df.sparkSession.sparkContext.broadcast((lexicon, weights))
-    lines = df.select("source_table", "row_id", F.explode(F.split("text", "\r?\n", -1)).alias("line")).where(F.col("line").rlike(SUSPECT))
-    return lines.mapInArrow(lambda batches: _task(*sent.value)(batches), "source_table string, row_id bigint, pii_type string, found_text string").distinct()
+    return df.select("source_table", "row_id", "text").mapInArrow(lambda batches: _task(*sent.value)(batches), "source_table string, row_id bigint, pii_type string, found_text string").distinct()
 
 
-def masked(text: str, lexicon: Lexicon, weights: dict[str, float]) -> str:
+def masked(text: str, lexicon: Lexicon, weights: dict[str, float], hopeless: frozenset[str] = frozenset()) -> str:
     """text with [NAME], [EMAIL], [PHONE], [ID_NUMBER] and [ADDRESS] in place of what was found; every other character stays."""
     out = []
     for line in text.split("\n"):
         at = 0
-        for c in found(line, lexicon, weights) if _SUSPECT.search(line) else ():
+        for c in found(line, lexicon, weights, hopeless):
             out += [line[at : c.start], f"[{c.kind.upper()}]"]
             at = c.end
         out += [line[at:], "\n"]
     return "".join(out[:-1])
 
 
-_SUSPECT = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), SUSPECT))
-
-
 def masked_texts(df: DataFrame, name_parts: DataFrame) -> DataFrame:
     """df(source_table, row_id, text) with typed placeholders in the texts; repeated rows stay repeated, null stays null."""
     sent = df.sparkSession.sparkContext.broadcast(model(name_parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, weights = sent.value
+        hopeless = hopeless_forms(weights)
         for batch in batches:
-            texts = [t if t is None else masked(t, *sent.value) for t in batch.column(2).to_pylist()]
+            texts = [t if t is None else masked(t, lexicon, weights, hopeless) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["source_table", "row_id", "text"])
 
     return df.select("source_table", "row_id", "text").mapInArrow(run, "source_table string, row_id bigint, text string")

@@ -57,6 +57,23 @@ def test_empty_lexicon_and_held_out_lines(spark, parts):
     assert hits / (hits + misses) > 0.95 and hits / (hits + wrong) > 0.95
 
 
+def test_lines_without_a_cue_are_scored(spark, parts):
+    rows = [(1, "… Tessa Foxmantle; Corwin Foxmantle"), (2, "… T. Foxmantle, the warehouse is ready."), (3, "… 김하솔 (2026-04-15)"), (4, "a.b at mail dot alder dot example"), (5, "a quiet line"), (6, None)]
+    got = {(r.row_id, r.found_text) for r in pii.personal_spans(sourced(spark, rows), parts).collect()}
+    assert {(1, "Tessa Foxmantle"), (1, "Corwin Foxmantle"), (2, "T. Foxmantle"), (3, "김하솔"), (4, "a.b at mail dot alder dot example")} == got
+    masked = {r.row_id: r.text for r in pii.masked_texts(sourced(spark, rows), parts).collect()}
+    assert masked[1] == "… [NAME]; [NAME]" and masked[4] == "[EMAIL]" and masked[5] == rows[4][1]
+
+
+def test_hopeless_forms_change_no_result(parts):
+    lexicon, weights = pii.model(parts)
+    rows = [tuple(r) for r in parts.where("token is not null").collect()]
+    lines = [text for text, _ in pii.training_lines(rows, 600, seed=5)]
+    lines += [x[len(x) // 3 :] for x in lines] + [" ".join(w.capitalize() for w in x.split()) for x in lines]
+    hopeless = pii.hopeless_forms(weights)
+    assert hopeless and all(pii.found(x, lexicon, weights) == pii.found(x, lexicon, weights, hopeless) for x in lines)
+
+
 def test_marginals_agree_with_enumeration():
     r = random.Random(3)
     cands = [pii.Candidate(a, a + r.randint(1, 4), "name") for a in (r.randint(0, 8) for _ in range(7))]
