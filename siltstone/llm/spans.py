@@ -1,10 +1,10 @@
 """Long stretches of text that stand verbatim in more than one document.
 
-Method: relative Lempel-Ziv parsing against indexed reference blocks. Blocks are cut where the text itself says so (the least
-hash in every window of `length` characters), so equal stretches have equal cuts in all documents and only blocks with a common
-cut meet. A block is parsed against all blocks of other documents that share its cut: a factor runs on as long as the window
-of `length` characters at its end also stands in one of them, whichever it is, so factors are checked at their boundaries by
-construction. Every window belongs to exactly one cut, so no stretch is lost and none is parsed twice.
+Method: window hashes in content-defined blocks, in place of a relative Lempel-Ziv parse. Blocks are cut where the text itself says
+so (the least hash in every window of `length` characters), so equal stretches have equal cuts in all documents and only blocks
+with a common cut meet. There every window of `length` characters is hashed, windows that two documents hold are shared, and
+neighbouring shared windows are joined; equality is that of 64-bit hashes. Every window belongs to exactly one cut, so no stretch
+is lost and none is compared twice.
 """
 
 from __future__ import annotations
