@@ -293,7 +293,7 @@ def test_leaks_equal_brute_force(spark, edits):
 # --- 8 shared spans ---
 
 
-@pytest.mark.parametrize("hot", [2000, 2])
+@pytest.mark.parametrize("hot", [1000, 2, 0])
 def test_spans_equal_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(spans, "HOT", hot)
     length, r = 80, random.Random(4)
@@ -335,6 +335,13 @@ def test_a_text_longer_than_a_piece(spark, monkeypatch):
     assert {(1, 400, 1900)} <= got and any(g[0] == 2 and g[1] <= 50 and g[2] >= 1550 for g in got)
 
 
+def test_equal_characters_make_few_blocks(spark):
+    assert len(spans._cuts(["a" * 1_000_000], 400, 133)[0]) < 1_000_000 // 200
+    rows = [(1, "=" * 200_000), (2, "x" + "=" * 900), (3, "y" * 500)]
+    got = {tuple(x) for x in spans.shared_spans(texts_df(spark, rows), "id", "text").collect()}
+    assert got == {(1, 0, 200_000), (2, 1, 901)}
+
+
 def test_queries_run_and_keep_their_columns(spark, small_dir):
     from siltstone.llm.queries import QUERIES
 
