@@ -1,15 +1,17 @@
 """Near-duplicate records: pairs whose sets of word runs are similar enough, and groups of them.
 
 Method: token-combination prefixes. Sets are ordered from rare to frequent tokens and cut to a prefix so long that two similar
-sets have several tokens of their prefixes in common; the prefixes are extended by a few tokens, so several common signatures
-can be asked for instead of one. Tokens of the frequent class are indexed as pairs (k = 2), rare ones singly. Pairs of records
-with enough signatures in common are verified exactly.
+sets have a token of their prefixes in common; prefixes are extended by EXTENDED tokens, so they have several. The class of a
+token is what its list holds: tokens of up to HOT records are indexed singly; those of longer lists only by pairs of such tokens,
+those of pairs with longer lists by triples, and only for records that have so many of them that a similar record need not share
+a rarer token. Lists that stay long are compared in blocks. Pairs of records with enough signatures in common are verified exactly.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +22,14 @@ from pyspark.sql import functions as F
 from siltstone.llm.words import mix, run_hashes, words
 from siltstone.session import cut, small
 
-#: Tokens of more than FREQUENT records, FREQUENT_KEPT of them at most, are ordered by their number of records, after all others. This only shapes the order: any order gives the same pairs.
-FREQUENT, FREQUENT_KEPT = 16, 2_000_000
-#: Tokens of more records than this are indexed in combinations of two.
-COMBINED = 1_000
-#: Tokens by which prefixes are extended: two similar sets share at least 1 + EXTENDED of them.
+#: Counters by which tokens are ordered, hashed to them; their number is the size of what is sent to the tasks, whatever the data. Any order gives the same pairs.
+COUNTERS, SHARDS = 1 << 21, 256
+#: Records of a signature that are compared in one task at most.
+HOT = 1_000
+#: Tokens by which prefixes are extended: two similar sets share at least 1 + EXTENDED of them, or all that they have in common.
 EXTENDED = 5
-#: Sets up to FEW tokens have each token indexed singly as well: they may share too few for combinations. Their partners are below FEW / 0.6.
-FEW = 24
+#: Largest combinations.
+MOST = 3
 
 
 class _Codes(dict):
@@ -58,53 +60,103 @@ def token_sets(texts: list[str], run: int, least_words: int) -> tuple[list[int],
 
 
 def _count_task(run: int, least_words: int):
-    """(token, records) of tokens that several records of a batch hold: the frequent ones are among them."""
+    """(shard, counts): how many records hold the tokens of each counter, one row a shard and task."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
             _, sets = token_sets(batch.column(1).to_pylist(), run, least_words)
             if sets:
-                token, n = np.unique(np.concatenate(sets), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(token[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["token", "n"])
+                at, n = np.unique(_counter(np.concatenate(sets)), return_counts=True)
+                total[at] += n.astype(np.uint32)
+        yield _shards(range(SHARDS), total.reshape(SHARDS, -1))
 
     return go
 
 
+def _counter(tokens: np.ndarray) -> np.ndarray:
+    return (tokens & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def _shards(numbers, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(numbers), pa.int32()), pa.array([c.tobytes() for c in counts], pa.binary())], ["shard", "counts"])
+
+
+def _sum_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the shards of a partition; the counts saturate."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for shard, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            total[shard] = total.get(shard, np.uint64(0)) + np.frombuffer(counts, np.uint32).astype(np.uint64)
+    if total:
+        yield _shards(total, np.minimum(np.stack(list(total.values())), np.iinfo(np.uint32).max).astype(np.uint32))
+
+
 def need(larger: int, smaller: int, similarity: float) -> int:
     """Least number of common tokens of two sets of these sizes."""
     return max(1, math.ceil(similarity / (1 + similarity) * (larger + smaller) - 1e-9))
 
 
-def _signature_task(run: int, least_words: int, similarity: float, sent):
-    """(signature, id, size): size is negative where the signature lies in the shorter prefix that suffices for the smaller set of a pair."""
+def _combinations(tokens: np.ndarray, hot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, place of the last token) of the combinations of `size` tokens all of whose parts are hot; others have met by a part."""
+    if size == 1:
+        return tokens.copy(), np.arange(len(tokens))
+    if size == 2:
+        h = np.flatnonzero(np.isin(tokens, hot))
+        i, j = (h[x] for x in np.triu_indices(len(h), 1))
+    else:
+        i, j = np.triu_indices(len(tokens), 1)
+        paired = np.isin(_pair(tokens[i], tokens[j]), hot)
+        i, j = i[paired], j[paired]
+        linked = np.zeros((len(tokens), len(tokens)), bool)
+        linked[i, j] = True
+        left, third = np.nonzero(linked[i] & linked[j])
+        a, b, c = np.sort(tokens[np.stack([i[left], j[left], third])], axis=0) if len(left) else np.empty((3, 0), np.uint64)
+        return mix(_pair(a, b) + mix(c + np.uint64(3))), third
+    return _pair(tokens[i], tokens[j]), j
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    # in the order of their hashes, so that either record forms the same combination
+    return mix(np.minimum(a, b) + mix(np.maximum(a, b)))
+
+
+def _signature_task(run: int, least_words: int, similarity: float, sent, size: int):
+    """(signature, id, n) of rows (id, text, hot): n is negative where the signature lies in the shorter prefix that suffices for the smaller set of a pair.
+
+    Beyond single tokens, hot are the record's signatures of one token less with long lists. Records whose prefix has fewer hot
+    tokens than similar sets share have met by a rarer one; the same holds for the shorter prefix.
+    """
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, records = sent.value
+        counts = sent.value
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            ids, hots = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             which, sets = token_sets(batch.column(1).to_pylist(), run, least_words)
-            signature, owner, size = [], [], []
+            signature, owner, sizes = [], [], []
             for k, s in zip(which, sets):
                 n = len(s)
-                rank = np.zeros(n, np.int64)
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                    rank = np.where(frequent[at] == s, records[at], 0)
-                order = np.lexsort((s, rank))
-                probe = min(n, n - math.ceil(similarity * n - 1e-9) + 1 + EXTENDED)
+                least = math.ceil(similarity * n - 1e-9)
+                probe = min(n, n - least + 1 + EXTENDED)
                 index = min(n, n - math.ceil(2 * similarity / (1 + similarity) * n - 1e-9) + 1 + EXTENDED)
-                s, rank = s[order[:probe]], rank[order[:probe]]
-                single = np.flatnonzero((rank <= COMBINED) | (n <= FEW / similarity))
-                often = np.flatnonzero(rank > COMBINED)
-                i, j = np.triu_indices(len(often), 1)
-                # both tokens in the order of their hashes, so that either record forms the same combination
-                a, b = np.minimum(s[often[i]], s[often[j]]), np.maximum(s[often[i]], s[often[j]])
-                signature += [s[single], mix(a + mix(b))]
-                place = np.concatenate([single, np.maximum(often[i], often[j])])
-                size.append(np.where(place < index, -n, n))
+                s = s[np.lexsort((s, counts[_counter(s)]))[:probe]]
+                common = min(least, 1 + EXTENDED)
+                if size == 1:
+                    found, place = _combinations(s, s, 1)
+                else:
+                    hot = np.array(hots[k], np.int64).view(np.uint64)
+                    if size == 2:
+                        at = np.flatnonzero(np.isin(s, hot))
+                        if len(at) < common:
+                            continue
+                        if np.count_nonzero(at < index) < common:
+                            index = 0
+                    found, place = _combinations(s, hot, size)
+                signature.append(found)
+                sizes.append(np.where(place < index, -n, n))
                 owner.append(np.full(len(place), ids[k], np.int64))
             if owner:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([x.view(np.int64) for x in signature], owner, size)], ["signature", "id", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([x.view(np.int64) for x in signature], owner, sizes)], ["signature", "id", "n"])
 
     return go
 
@@ -125,37 +177,65 @@ def _pairs_of(signature: np.ndarray, ids: np.ndarray, size: np.ndarray, similari
     return tuple(np.concatenate(c) for c in zip(*out)) if out else tuple(np.empty(0, np.int64) for _ in range(4))
 
 
+MET = "hot boolean, a bigint, b bigint, n bigint"
+
+
 def _pair_task(similarity: float):
-    """Over rows sorted by signature: (a, b, asked, n) with a's set the smaller one."""
+    """Over (signature, id, n) sorted by signature: (false, a, b, common) of pairs, a's set the smaller one, common the tokens of the prefixes that similar sets share; (true, signature, id, n) of the rows of signatures with more than HOT."""
 
-    def flush(batch: pa.RecordBatch | pa.Table) -> pa.RecordBatch:
-        signature, ids, size = (batch.column(k).to_numpy() for k in range(3))
-        a, b, m, n = _pairs_of(signature, ids, size, similarity)
-        common = np.ceil(similarity / (1 + similarity) * (m + n) - 1e-9).astype(np.int64)
-        # up to two frequent tokens in common may go without a signature of their own or share one
-        asked = np.where(m <= FEW, np.minimum(common, 1 + EXTENDED), np.minimum(common, 1 + EXTENDED) - 1)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.maximum(asked, 1))], ["a", "b", "asked"])
+    def met(signature: np.ndarray, ids: np.ndarray, n: np.ndarray, long: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a, b, m, l = _pairs_of(signature[~long], ids[~long], n[~long], similarity)
+        common = np.minimum(np.ceil(similarity / (1 + similarity) * (m + l) - 1e-9).astype(np.int64), 1 + EXTENDED)
+        columns = [[np.zeros(len(a), bool), np.ones(int(long.sum()), bool)], [a, signature[long]], [b, ids[long]], [common, n[long]]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["hot", "a", "b", "n"])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        kept = tuple(np.empty(0, np.int64) for _ in range(3))
+        passed = None  # the signature at the end of what was given out as long
         for batch in batches:
-            s = batch.column(0).to_numpy()
-            fresh = np.flatnonzero(s != s[-1])
-            split = int(fresh[-1]) + 1 if len(fresh) else 0
-            if held and held[-1].column(0)[-1].as_py() != s[0]:
-                yield flush(pa.Table.from_batches(held))
-                held = []
-            if split:
-                yield flush(pa.Table.from_batches([*held, batch.slice(0, split)]))
-                held = [batch.slice(split)]
-            else:
-                held.append(batch)
-        if held:
-            yield flush(pa.Table.from_batches(held))
+            rows = [np.concatenate([k, batch.column(c).to_numpy()]) for c, k in enumerate(kept)]
+            signature = rows[0]
+            new = np.flatnonzero(np.concatenate([[True], signature[1:] != signature[:-1]]))
+            count = np.diff(np.concatenate([new, [len(signature)]]))
+            long = (count > HOT) | (signature[new] == passed if passed is not None else False)
+            # the last signature may go on: its rows wait unless there are too many already
+            end = len(signature) if long[-1] else int(new[-1])
+            passed = int(signature[-1]) if long[-1] else None
+            kept = tuple(r[end:] for r in rows)
+            # one signature without an indexed row has no pairs
+            useful = np.repeat(np.logical_or.reduceat(rows[2] < 0, new) | (count > 1) & long, count)[:end]
+            yield from met(*(r[:end][useful] for r in rows), np.repeat(long, count)[:end][useful])
+        yield from met(*kept, np.zeros(len(kept[0]), bool))
 
     return go
 
 
+def _block_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of the pairs of (signature, id, n) whose lists are too long for a task: each list is dealt to blocks, and two blocks at a time are compared."""
+    counted = rows.groupBy("signature").agg(F.count("*").alias("_rows"))
+    dealt = rows.join(counted, "signature").withColumn("_blocks", F.ceil(F.col("_rows") / (HOT // 2 or 1)).cast("int")).withColumn("_mine", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    spread = dealt.select("signature", "id", "n", "_mine", other.alias("_other"))
+    cell = F.xxhash64("signature", F.least("_mine", "_other"), F.greatest("_mine", "_other"))
+    sides = spread.select(cell.alias("signature"), "id", "n")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.empty(0, np.int64) for _ in range(3)]
+        for batch in _then_none(batches):
+            rows = [np.concatenate([k, batch.column(c).to_numpy()]) for c, k in enumerate(kept)] if batch is not None else kept
+            end = len(rows[0]) if batch is None else int(np.searchsorted(rows[0], rows[0][-1]))
+            kept = [r[end:] for r in rows]
+            a, b, _, _ = _pairs_of(*(r[:end] for r in rows), similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return sides.repartition("signature").sortWithinPartitions("signature").mapInArrow(task, "a bigint, b bigint")
+
+
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def _set_task(run: int, least_words: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,23 +265,43 @@ def links(df: DataFrame, key: str, text: str, run: int = 5, similarity: float =
     rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.length("text") > 0)
     single = rows.join(small(same.where("id <> kept").select("id")), "id", "left_anti")
 
-    counts = single.mapInArrow(_count_task(run, least_words), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    frequent = counts.where(F.col("n") > FREQUENT).orderBy(F.desc("n"), "token").limit(FREQUENT_KEPT).toPandas().astype(np.int64)
-    token = frequent["token"].to_numpy().view(np.uint64)
-    order = np.argsort(token)
-    sent = spark.sparkContext.broadcast((token[order], frequent["n"].to_numpy()[order]))
-
-    signatures = single.mapInArrow(_signature_task(run, least_words, similarity, sent), "signature bigint, id bigint, size bigint")
-    pairs = signatures.repartition("signature").sortWithinPartitions("signature").mapInArrow(_pair_task(similarity), "a bigint, b bigint, asked bigint")
-    candidates = cut(pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("asked").alias("asked")).where("n >= asked").select("a", "b"))
+    counted = single.mapInArrow(_count_task(run, least_words), "shard int, counts binary").repartition("shard").mapInArrow(_sum_task, "shard int, counts binary")
+    counts = np.zeros((SHARDS, COUNTERS // SHARDS), np.uint32)
+    for r in counted.collect():  # COUNTERS numbers in all
+        counts[r.shard] = np.frombuffer(r.counts, np.uint32)
+    sent = spark.sparkContext.broadcast(counts.ravel())
+
+    def met(texts: DataFrame, size: int) -> DataFrame:
+        signatures = texts.mapInArrow(_signature_task(run, least_words, similarity, sent, size), "signature bigint, id bigint, n bigint")
+        rows = signatures.repartition("signature").sortWithinPartitions("signature").mapInArrow(_pair_task(similarity), MET)
+        return rows.groupBy("hot", "a", "b").agg(F.count("*").alias("times"), F.min("n").alias("n"))
+
+    texts, found = single.select("id", "text", F.lit(None).cast("array<bigint>").alias("hot")), []
+    for size in range(1, MOST + 1):
+        counted = cut(met(texts, size).where("hot or times >= n" if size == 1 else "true"))
+        found.append(counted.where("not hot").select("a", "b"))
+        long = counted.where("hot").select(F.col("a").alias("signature"), F.col("b").alias("id"), "n")
+        if long.isEmpty():
+            break
+        # sets so small that similar ones may share no larger combination
+        stay = long if size == MOST else long.where(F.abs("n") * similarity <= size)
+        found.append(_block_pairs(stay, similarity))
+        hot = cut(long.groupBy("id").agg(F.collect_list("signature").alias("hot")))
+        texts = single.join(small(hot, F.size("hot") * 8 + 32), "id").select("id", "text", "hot")
+        if size == 1:
+            # two records that both have hot tokens may share fewer others
+            both = met(texts, 1).where("not hot and times < n")
+            few = lambda c: small(hot.select(F.col("id").alias(c), F.size("hot").alias(f"_{c}")))
+            found.append(both.join(few("a"), "a").join(few("b"), "b").where(F.col("times") >= F.col("n") - F.least("_a", "_b")).select("a", "b"))
+    candidates = cut(reduce(DataFrame.unionByName, found).distinct())
 
     wanted = cut(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     sets = cut(single.join(small(wanted), "id", "left_semi").mapInArrow(_set_task(run, least_words), "id bigint, tokens array<bigint>"))
     left, right = sets.select(F.col("id").alias("a"), F.col("tokens").alias("_x")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("_y"))
     both = candidates.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("_x", "_y")))
     jaccard = F.col("common") / (F.size("_x") + F.size("_y") - F.col("common"))
-    found = both.select("a", "b", "common", jaccard.alias("similarity")).where(F.col("similarity") >= similarity - 1e-12)
-    return found, same
+    similar = both.select("a", "b", "common", jaccard.alias("similarity")).where(F.col("similarity") >= similarity - 1e-12)
+    return similar, same
 
 
 def similar_pairs(df: DataFrame, key: str, text: str, run: int = 5, similarity: float = 0.8, least_words: int = 5) -> DataFrame:

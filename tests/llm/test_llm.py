@@ -151,10 +151,9 @@ def triples(text):
     return set(zip(w, w[1:], w[2:])) if len(w) >= 25 else set()
 
 
-@pytest.mark.parametrize("combined, frequent", [(1000, 16), (2, 1)])
-def test_similar_pairs_equal_brute_force(spark, monkeypatch, combined, frequent):
-    monkeypatch.setattr(neardup, "COMBINED", combined)
-    monkeypatch.setattr(neardup, "FREQUENT", frequent)
+@pytest.mark.parametrize("hot", [1000, 6, 2])
+def test_similar_pairs_equal_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(neardup, "HOT", hot)
     r = random.Random(5)
     rows = []
     for k in range(25):
