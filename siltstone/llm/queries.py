@@ -39,7 +39,10 @@ def p1_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _secret_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir, ("catalog_records", "id", "content"), ("catalog_chunks", "id", "content"))
+    """Records and chunks; the chunks of an entry are pieces of its record."""
+    records = texts(spark, sf_dir, ("catalog_records", "id", "content")).withColumns({"whole": F.col("row_id"), "piece": F.lit(None).cast("int")})
+    chunks = table(spark, sf_dir, "catalog_chunks").where(F.length("content") > 0)
+    return records.unionByName(chunks.select(F.lit("catalog_chunks").alias("source_table"), F.col("id").alias("row_id"), F.col("content").alias("text"), F.col("entry_id").alias("whole"), F.col("chunk_index").alias("piece")))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,9 +55,7 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with its secrets masked; rows without secrets come out unchanged."""
     from siltstone.llm.secrets import redacted
 
-    records = texts(spark, sf_dir, ("catalog_records", "id", "content")).withColumns({"whole": F.lit(None).cast("bigint"), "piece": F.lit(None).cast("int")})
-    chunks = table(spark, sf_dir, "catalog_chunks").where(F.length("content") > 0).select(F.lit("catalog_chunks").alias("source_table"), F.col("id").alias("row_id"), F.col("content").alias("text"), F.col("entry_id").alias("whole"), F.col("chunk_index").alias("piece"))
-    return redacted(records.unionByName(chunks))
+    return redacted(_secret_texts(spark, sf_dir))
 
 
 #: The statement of problem 3: word triples, a similarity of 0.6, contents of 25 words or more.

@@ -1,14 +1,16 @@
 """Credentials embedded in source code, configuration and prose: find them and redact them.
 
-Method: literals that stand where credentials stand are indexed corpus-wide; values that many unrelated owners share are
-placeholders and suppressed; rare values of a credential's structure are confirmed. Then every file is scanned again for all
-confirmed secrets: files that hold the anchor of a secret are found by a join, and in each of them an automaton over its
-secrets finds every occurrence.
+Method: the literals of assignments, strings and credential places are indexed corpus-wide; values that many unrelated owners
+share are placeholders and suppressed; rare values of a credential's structure are confirmed. Then every text is scanned again
+for all confirmed secrets by an automaton: one over all of them while they are few enough to be sent to every task, beyond that
+one a batch over those whose longest word a text of the batch holds.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -18,25 +20,37 @@ from pyspark.sql import functions as F
 
 from siltstone.session import cut, small
 
-#: A value in a weak place that more owners hold than this is a placeholder. An owner is a file's first line: copies of a file are one owner.
-MAX_OWNERS = 12
+#: A value that more owners hold than this, and than this share of all owners, is a placeholder. An owner is a file with its chunks; files of equal content are one owner.
+MAX_OWNERS, MAX_SHARE = 12, 1e-4
+#: Characters of the secrets of one automaton at most.
+AUTOMATON = 1 << 21
 #: Kinds of literals that are secrets however many owners share them.
 SURE = ("key", "issued", "random")
-MASK = "[REDACTED]"
-
-# Formats of issued keys and tokens, words that name or replace credentials.
-ISSUED = r"nvk_live_\w{16,}|tgp_[A-Za-z0-9]{30,}|hx\.at\.[A-Za-z0-9]{30,}|qz-[A-Za-z0-9]{8,}-[A-Za-z0-9]{16,}|SKLQ[A-Z0-9]{16}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,}"
+#: A plain word: it leaves strings, YAML, JSON, URLs and shell lines what they were.
+MASK = "REDACTED"
+
+# Public formats of issued keys and tokens, words that name or replace credentials.
+ISSUED = (
+    r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_\w{22,}|glpat-[\w-]{20,}|(?:sk|rk|pk)_(?:live|test)_[A-Za-z0-9]{16,}|sk-(?:proj-|ant-)?[A-Za-z0-9_-]{20,}"
+    r"|xox[abeoprs]-[A-Za-z0-9-]{10,}|AIza[\w-]{35}|ya29\.[\w-]{20,}|SG\.[\w-]{16,}\.[\w-]{16,}|npm_[A-Za-z0-9]{36}|pypi-[\w-]{50,}|dop_v1_[a-f0-9]{64}|shp(?:at|ca|pa|ss)_[a-fA-F0-9]{32}|hf_[A-Za-z0-9]{30,}"
+    r"|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,}"
+)
 NAME = r"(?:pass(?:word|wd|phrase|code)?|pwd|pw|secret(?:[_-]?key)?|token|api[_-]?key|apikey|credentials?|auth[_-]?token|access[_-]?key|client[_-]?secret)"
 PLACEHOLDER = re.compile(
     r"(?i)^(?:[*xX.•·\-_?#]+|none|null|nil|true|false|changeme|change[_-]?me|change[_-]?it|redacted|masked|hidden|example|sample|dummy|test|todo|tbd|your[\w-]*|my[_-]?(?:password|secret|token)|(?:password|passwd|secret|token|apikey|api[_-]key)"
     r"|<.*>?|\$[\w{(].*|%\(?\w+\)?[s%]?|\{\{.*|.*\*{3,}.*|!.*|.*\.\.\.|process\.env.*|os\.environ.*|getenv.*|env[.\[(].*|vault[:/].*|.*\(.*)$"
 )
-TRIGGER = r"(?i)pass|pwd|\bpw\b|secret|token|api[ _-]?key|credential|\bauth|login|bearer|\bbasic |private key|hmac|client\(|://[^\s/@:]*:[^\s/@]+@|비번|비밀번호|암호|토큰|(?-i:nvk_live_|tgp_|hx\.at\.|\bqz-|SKLQ|\beyJ)"
+#: Any issued key of the common shape: a short name, perhaps a second one, and a body of mixed characters behind a separator; or a name in capitals grown into its body.
+PREFIXED = r"[A-Za-z]{2,8}(?:[_.-][A-Za-z]{2,6})?[_.-](?:[A-Za-z0-9]{6,12}-)?[A-Za-z0-9_]{16,}|[A-Z]{4}[A-Z0-9]{16}"
+#: Lines that may hold a literal: those with a word of a credential place, and those with a long run of characters of several kinds, as issued keys and random strings have.
+PLACE_LINE = r"(?i)pass|pwd|pw|secret|token|api[ _-]?key|credential|access[_-]?key|\bauth|login|bearer|\bbasic |x-api-|private key|hmac|client\(|setkey|set_key|://[^\s/@:]*:[^\s/@]+@|비번|비밀번호|암호|토큰"
+LONG_LINE = r"(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z0-9_+/=.-]*[0-9])(?=[A-Za-z0-9_+/=.-]*[A-Z])[A-Za-z0-9_+/=.-]{16}"
 
-_VALUE = r"""(?P<q>'''|\"\"\"|["'`])(?P<v1>(?:(?!(?P=q)).){4,4096})(?P=q)|(?P<v2>[^\s"'`,;<>]{4,})"""
+_VALUE = r"""(?P<q>'''|\"\"\"|["'`])(?P<v1>(?:(?!(?P=q)).){4,})(?P=q)|(?P<v2>[^\s"'`,;<>]{4,})"""
 _PLACES = [
     ("key", re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----")),
     ("issued", re.compile(r"(?<![\w.-])(?:" + ISSUED + r")(?![\w-])")),
+    ("prefixed", re.compile(r"(?<![\w./+=-])(?:" + PREFIXED + r")(?![\w+/=-])")),
     ("url", re.compile(r"://[^\s/@:\"']*:(?P<v2>[^\s/@\"']+)@")),
     ("header", re.compile(r"(?i)\b(?:bearer|basic)\s+(?P<v2>[A-Za-z0-9_.~+/=-]{8,})")),
     ("header", re.compile(r"(?i)\bx-(?:api|auth)-(?:key|token):\s*(?P<v2>[^\s\"']{8,})")),
@@ -67,13 +81,30 @@ def structured(value: str) -> bool:
     return bool(_PHRASE.match(value)) or (len(value) >= 6 and (kinds >= 2 and (bool(re.search(r"\d", value)) or kinds >= 2 and len(value) >= 8)))
 
 
+def entropy(value: str) -> float:
+    """Bits a character of value."""
+    return -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
+
+
+def issued_body(value: str) -> bool:
+    """Whether the long part of a prefixed value is random: characters change between kinds again and again, no words and no hexadecimal sum."""
+    body = re.split(r"[_.-]", value)[-1]
+    if len(body) < 16 or re.fullmatch(r"[0-9a-fA-F]+|[a-z0-9]+", body):
+        return False
+    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" for c in body]
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
+    return changes * 3 >= len(body) and "d" in kinds and entropy(body) >= 3.0
+
+
 def literals(line: str) -> list[tuple[str, str]]:
     """(kind of place, value) of the literals of a line that stand where credentials stand; an issued format counts anywhere."""
     found: dict[str, str] = {}
     for kind, place in _PLACES:
         for m in place.finditer(line):
-            if kind in ("key", "issued"):
+            if kind in ("key", "issued", "prefixed"):
                 value = m.group()
+                if kind == "prefixed" and (not issued_body(value) or _HEX_SUM.search(line[max(0, m.start() - 24) : m.start()])):
+                    continue
             else:
                 g = m.groupdict()
                 value = g.get("v1") or g["v2"]
@@ -81,8 +112,8 @@ def literals(line: str) -> list[tuple[str, str]]:
                     value = value.rstrip(").,;]}")
                 if kind == "assigned" and value.startswith(("'", '"')):
                     continue
-            if value and (kind in ("key", "issued") or structured(value)) and not _inside(value, found):
-                found.setdefault(value, kind)
+            if value and (kind in ("key", "issued", "prefixed") or structured(value)) and not _inside(value, found):
+                found.setdefault(value, "issued" if kind == "prefixed" else kind)
     return [("random" if k not in ("key", "issued") and random_like(v) else k, v) for v, k in found.items()]
 
 
@@ -96,8 +127,8 @@ def _inside(value: str, found: dict[str, str]) -> bool:
 
 
 def anchor(value: Column) -> Column:
-    """The longest run of word characters of a secret: files without it don't hold the secret."""
-    runs = F.regexp_extract_all(value, F.lit(r"[A-Za-z0-9_-]+"), F.lit(0))
+    """The longest run of word characters of a secret: no word character goes on at the ends of an occurrence, so a text that holds the secret has the run as a whole."""
+    runs = F.regexp_extract_all(value, F.lit(r"[A-Za-z0-9_]+"), F.lit(0))
     return F.element_at(F.array_sort(runs, lambda a, b: F.length(b) - F.length(a)), 1)
 
 
@@ -110,43 +141,68 @@ def _literal_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 kinds.append(kind)
                 values.append(value)
         taken = batch.take(pa.array(keys, pa.int64()))
-        yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), taken.column(2), pa.array(kinds, pa.string()), pa.array(values, pa.string())], ["source_table", "row_id", "owner", "kind", "value"])
+        yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), taken.column(2), pa.array(kinds, pa.string()), pa.array(values, pa.string())], ["source_table", "row_id", "whole", "kind", "value"])
 
 
 def indexed_literals(df: DataFrame) -> DataFrame:
-    """(source_table, row_id, owner, kind, value) for df(source_table, row_id, text)."""
-    lines = df.select("source_table", "row_id", F.xxhash64(F.substring_index("text", "\n", 1)).alias("owner"), F.explode(F.split("text", "\n", -1)).alias("line"))
-    return lines.where(F.col("line").rlike(TRIGGER)).mapInArrow(_literal_task, "source_table string, row_id bigint, owner bigint, kind string, value string")
+    """(source_table, row_id, whole, kind, value) for df(source_table, row_id, text, whole)."""
+    lines = df.select("source_table", "row_id", "whole", F.explode(F.split("text", "\n", -1)).alias("line"))
+    return lines.where(F.col("line").rlike(PLACE_LINE) | F.col("line").rlike(LONG_LINE)).mapInArrow(_literal_task, "source_table string, row_id bigint, whole bigint, kind string, value string")
 
 
-def confirmed(index: DataFrame) -> DataFrame:
-    """Values of the index that are secrets: issued formats, key markers and random values, and other structured values that few owners share."""
-    # owners are counted as a set of bounded size: beyond the limit the number doesn't matter
-    per_owner = index.groupBy("value", "owner").agg(F.max(F.col("kind").isin(*SURE)).alias("sure"))
-    counted = per_owner.groupBy("value").agg(F.count("*").alias("owners"), F.max("sure").alias("sure"))
-    return counted.where(F.col("sure") | (F.col("owners") <= MAX_OWNERS)).select("value")
+def owners(df: DataFrame) -> DataFrame:
+    """(whole, owner): files of equal content have the same owner. The content is that of a text without a piece number, or else of all pieces."""
+    sums = df.select("whole", F.xxhash64("text").alias("_sum"), F.col("piece").isNull().alias("_entire"))
+    per = sums.groupBy("whole").agg(F.max(F.when(F.col("_entire"), F.col("_sum"))).alias("_one"), F.sort_array(F.collect_set(F.when(~F.col("_entire"), F.col("_sum")))).alias("_all"))
+    return per.select("whole", F.coalesce("_one", F.xxhash64("_all")).alias("owner"))
 
 
-def _scan_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        taken, values = [], []
-        for k, (text, secrets) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-            for value in {text[a:b] for a, b in occurrences(text, secrets)}:
-                taken.append(k)
-                values.append(value)
-        rows = batch.take(pa.array(taken, pa.int64()))
-        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(values, pa.string())], ["source_table", "row_id", "value"])
+def counted_values(index: DataFrame, owner: DataFrame) -> DataFrame:
+    """(value, owners, sure) of the indexed values."""
+    held = index.groupBy("value", "whole").agg(F.max(F.col("kind").isin(*SURE)).alias("sure"))
+    per_owner = held.join(owner, "whole").groupBy("value", "owner").agg(F.max("sure").alias("sure"))
+    return per_owner.groupBy("value").agg(F.count("*").alias("owners"), F.max("sure").alias("sure"))
 
 
-def occurrences(text: str, secrets: list[str]) -> list[tuple[int, int]]:
-    """Spans of the secrets in text, longest first where they overlap, only where no word character goes on at either end."""
+def confirmed(counted: DataFrame, n_owners: int) -> DataFrame:
+    """(value): issued formats, key markers and random values, and other structured values that few owners share."""
+    return counted.where(F.col("sure") | (F.col("owners") <= max(MAX_OWNERS, MAX_SHARE * n_owners))).select("value")
+
+
+def suppressed(df: DataFrame) -> DataFrame:
+    """(value, owners) of the values in credential places that so many owners share that they are taken for placeholders."""
+    df = _with_wholes(df)
+    owner = cut(owners(df))
+    limit = max(MAX_OWNERS, MAX_SHARE * owner.select("owner").distinct().count())
+    return counted_values(indexed_literals(df), owner).where(~F.col("sure") & (F.col("owners") > limit)).select("value", "owners")
+
+
+def _automaton(secrets: list[str]) -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton()
     for s in secrets:
         automaton.add_word(s, len(s))
     automaton.make_automaton()
-    spans = [(end + 1 - n, end + 1) for end, n in automaton.iter(text)]
+    return automaton
+
+
+def _found_task(texts: pa.RecordBatch, automaton: ahocorasick.Automaton) -> pa.RecordBatch:
+    taken, values = [], []
+    for k, text in enumerate(texts.column(2).to_pylist()):
+        for value in {text[a:b] for a, b in free_spans(text, automaton)}:
+            taken.append(k)
+            values.append(value)
+    rows = texts.take(pa.array(taken, pa.int64()))
+    return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(values, pa.string())], ["source_table", "row_id", "value"])
+
+
+def free_spans(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int]]:
+    """Spans of the automaton's secrets in text, longest first where they overlap, only where no word character goes on at either end."""
     word = lambda c: c == "_" or c.isascii() and c.isalnum()
-    free = [(a, b) for a, b in spans if not (a and word(text[a - 1]) and word(text[a])) and not (b < len(text) and word(text[b]) and word(text[b - 1]))]
+    free = []
+    for end, n in automaton.iter(text) if len(automaton) else ():
+        a, b = end + 1 - n, end + 1
+        if not (a and word(text[a - 1]) and word(text[a])) and not (b < len(text) and word(text[b]) and word(text[b - 1])):
+            free.append((a, b))
     out: list[tuple[int, int]] = []
     for a, b in sorted(free, key=lambda s: (s[0], -s[1])):
         if not out or a >= out[-1][1]:
@@ -154,33 +210,78 @@ def occurrences(text: str, secrets: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def _rescan(df: DataFrame, secrets: DataFrame, known: DataFrame | None) -> DataFrame:
-    """(source_table, row_id, secrets): the secrets whose anchor a text holds, without the pairs known already."""
-    runs = F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_-]{6,}"), F.lit(0))), lambda r: r.rlike(r"[0-9]|[A-Z].*[a-z].*[A-Z]"))
-    held = df.select("source_table", "row_id", F.explode(runs).alias("anchor"))
-    pairs = held.join(secrets.select("value", anchor(F.col("value")).alias("anchor")), "anchor").select("source_table", "row_id", "value")
-    if known is not None:
-        pairs = pairs.join(known, ["source_table", "row_id", "value"], "left_anti")
-    return pairs.groupBy("source_table", "row_id").agg(F.collect_set("value").alias("secrets"))
+def occurrences(text: str, secrets: list[str]) -> list[tuple[int, int]]:
+    return free_spans(text, _automaton(secrets))
+
+
+FOUND = "source_table string, row_id bigint, value string"
+
+
+def _scan_all(df: DataFrame, secrets: list[str]) -> DataFrame:
+    """Every text by one automaton over the given secrets."""
+    sent = df.sparkSession.sparkContext.broadcast(secrets)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(sent.value)
+        for batch in batches:
+            yield _found_task(batch, automaton)
+
+    return df.select("source_table", "row_id", "text").mapInArrow(task, FOUND)
+
+
+def _scan_held(df: DataFrame, secrets: DataFrame) -> DataFrame:
+    """Every text that holds the longest word of a secret, by an automaton over the secrets of its batch."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if values := {v for held in batch.column(3).to_pylist() for v in held}:
+                yield _found_task(batch, _automaton(sorted(values)))
+
+    # a text's words and a secret's longest one meet as hashes; a wrong meeting only scans for one secret more
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_]+"), F.lit(0)), lambda w: F.xxhash64(w)))
+    held = df.select("source_table", "row_id", F.explode(words).alias("anchor"))
+    pairs = held.join(secrets.select("value", F.xxhash64(anchor(F.col("value"))).alias("anchor")), "anchor")
+    per_text = cut(pairs.groupBy("source_table", "row_id").agg(F.collect_set("value").alias("secrets")))
+    return df.join(_small_lists(per_text), ["source_table", "row_id"]).select("source_table", "row_id", "text", "secrets").mapInArrow(task, FOUND)
 
 
 def _small_lists(df: DataFrame) -> DataFrame:
     return small(df, F.octet_length(F.array_join("secrets", "")) + 32 * F.size("secrets") + 64)
 
 
+#: Secrets whose longest word is shorter than this would meet most texts by it: they are scanned for in every text, AUTOMATON characters of them at a time.
+SHORT = 4
+
+
+def _with_wholes(df: DataFrame) -> DataFrame:
+    """df with whole and piece: a text without them, or with null, is a file of its own."""
+    if "whole" not in df.columns:
+        df = df.withColumns({"whole": F.lit(None).cast("bigint"), "piece": F.lit(None).cast("int")})
+    return df.select("source_table", "row_id", "text", F.coalesce("whole", F.xxhash64("source_table", "row_id")).alias("whole"), "piece").where(F.length("text") > 0)
+
+
 def found_secrets(df: DataFrame) -> DataFrame:
     """(source_table, row_id, value): the distinct secrets of each text of df(source_table, row_id, text).
 
-    A private key is told by its opening marker. Null and empty texts give no rows; repeated rows count once. Only secrets whose
-    anchor has six characters or more, with a digit or several capitals, are looked for outside the places of credentials.
+    Where df has the columns whole and piece, rows of one whole are one file: its text (piece null) and its chunks. A private key
+    is told by its opening marker. Null and empty texts give no rows; repeated rows count once.
     """
+    df = _with_wholes(df)
     index = cut(indexed_literals(df))
-    secrets = cut(confirmed(index))
-    placed = cut(index.join(small(secrets, F.octet_length("value") + 32), "value", "left_semi").select("source_table", "row_id", "value").distinct())
+    owner = owners(df)
+    n_owners = owner.agg(F.approx_count_distinct("owner")).first()[0]
+    secrets = cut(confirmed(counted_values(index, owner), n_owners))
+    placed = index.join(small(secrets, F.octet_length("value") + 32), "value", "left_semi").select("source_table", "row_id", "value")
     # markers are found in their place or not at all
-    loose = secrets.where(~F.col("value").startswith("-----") & (F.length(anchor(F.col("value"))) >= 6))
-    candidates = _small_lists(cut(_rescan(df, small(loose, F.octet_length("value") + 32), placed)))
-    again = df.join(candidates, ["source_table", "row_id"]).select("source_table", "row_id", "text", "secrets").mapInArrow(_scan_task, "source_table string, row_id bigint, value string")
+    loose = secrets.where(~F.col("value").startswith("-----"))
+    if loose.agg(F.coalesce(F.sum(F.length("value")), F.lit(0))).first()[0] <= AUTOMATON:
+        again = _scan_all(df, [r.value for r in loose.collect()])
+    else:
+        short = loose.where(F.length(anchor(F.col("value"))) < SHORT)
+        blocks = -(-short.agg(F.coalesce(F.sum(F.length("value")), F.lit(0))).first()[0] // AUTOMATON)
+        again = _scan_held(df, loose.where(F.length(anchor(F.col("value"))) >= SHORT))
+        for b in range(blocks):
+            again = again.unionByName(_scan_all(df, [r.value for r in short.where(F.pmod(F.xxhash64("value"), F.lit(blocks)) == b).collect()]))
     return placed.unionByName(again).distinct()
 
 
@@ -289,7 +390,7 @@ def _whole_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keys_of_pieces(df: DataFrame) -> DataFrame:
     """(source_table, row_id, keys): the key bodies of each piece, found in the whole texts of which any piece holds one side of a marker's cut."""
-    pieces = df.where("whole is not null").select("source_table", "whole", "piece", "row_id", "text")
+    pieces = df.where("whole is not null and piece is not null").select("source_table", "whole", "piece", "row_id", "text")
     marked = cut(pieces.where(F.col("text").contains("-----BEGIN") | F.col("text").contains("PRIVATE KEY-----") | F.col("text").contains("-----END")).select("source_table", "whole").distinct())
     of_marked = pieces.join(small(marked), ["source_table", "whole"], "left_semi").distinct()
     wholes = of_marked.groupBy("source_table", "whole").agg(F.sort_array(F.collect_list(F.struct("piece", "row_id", "text"))).alias("pieces")).select("source_table", "pieces")
@@ -324,7 +425,7 @@ def redacted(df: DataFrame) -> DataFrame:
     Where df has the columns whole and piece, texts of one whole (null: a text of its own) are its pieces in order of piece, and
     private keys are found in the pieces put together.
     """
-    per_text = cut(found_secrets(df.select("source_table", "row_id", "text")).groupBy("source_table", "row_id").agg(F.collect_list("value").alias("secrets")))
+    per_text = cut(found_secrets(df).groupBy("source_table", "row_id").agg(F.collect_list("value").alias("secrets")))
     out = df.join(_small_lists(per_text), ["source_table", "row_id"], "left")
     if "whole" in df.columns:
         keys = cut(_keys_of_pieces(df).groupBy("source_table", "row_id").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys")))
