@@ -7,17 +7,15 @@ intended encoding; a repair is accepted when a garbling cost drops, and the step
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Layers of wrong decoding that are undone at most.
-MAX_LAYERS = 4
-
-#: Letters that no text of the catalog holds: two proper signs in a row may happen to decode to one.
-_NEVER = re.compile(r"[\u0180-\u0191\u0193-\u02af\u0530-\u10ff]")
+#: Letters of scripts that seldom stand alone: two proper signs in a row may happen to decode to a single one of them.
+_SCRIPT = re.compile(r"[\u0180-\u0191\u0193-\u02af\u0460-\u10ff]")
 _SPLIT = re.compile(r"[^\x00-\x7f]+")
 
 
@@ -60,8 +58,8 @@ def encode(text: str, codec: str) -> bytes | None:
 _ODD = re.compile(
     r"(?P<lost>�)|(?P<control>[\x80-\x9f-])|(?P<lead>\xe2[€\x80‚]|[\xc3\xc2][\xa0-\xbfŒ-ƒˆ-˜–-™]|[\xea-\xed][\xa0-\xbf‘-™Œ-ƒ])"
     r"|(?P<glued>(?<=[a-z\xdf-\xff])[가-힣]|[가-힣](?=[a-z])|[㐀-䶿豈-﫿])"
-    r"|(?P<han>[一-鿿])|(?P<pair>[\xc0-\xffŒœŸŠšŽžƒ](?=[\xc0-\xffŒœŸŠšŽžƒ\xa1-\xbf]))"
-    r"|(?P<upper>(?<=[a-z\xdf-\xff])[\xc0-\xd6\xd8-\xdeŸŠŽ])|(?P<mid>(?<=[^\W\d_])[\xa0-\xbfˆ˜†-•…‰‹›€™‚„“](?=[^\W\d_]|[\x80-\xbf]))"
+    r"|(?P<han>[一-鿿])|(?P<pair>(?![äöüÄÖÜ]ß)[\xc0-\xffŒœŸŠšŽžƒ](?=[\xc0-\xffŒœŸŠšŽžƒ\xa1-\xbf]))"
+    r"|(?P<upper>(?<=[a-z\xdf-\xff])[\xc0-\xd6\xd8-\xdeŸŠŽ])|(?P<mid>(?<=[^\W\d_])[\xa0-\xbfˆ˜†-•…‰‹›€™‚„“”](?=[^\W\d_]|[\x80-\xbf]))"
     r"|(?P<mark>[\xa1\xa2\xa4\xa6-\xaf\xb8\xbfƒˆ˜†‡‰‹›™∂∆∏∑√∞∫≈≠≤≥◊Ωπı˘-˝ﬁﬂ⁄─-⯿\xb5])"
     r"|(?P<jamo>[ᄀ-ᇿㄱ-ㆎ])|(?P<rare>[ƀ-ƑƓ-˅ˇ-˗Ͱ-ΨΪ-ορ-ԯ԰-ჿሀ-᷿])|(?P<ext>[Ā-İĲ-őŔ-şŢ-ŷŹ-ż])"
 )
@@ -73,22 +71,52 @@ def cost(text: str) -> float:
     return sum(_WEIGHT[m.lastgroup] for m in _ODD.finditer(text))
 
 
+def lone_letters(text: str) -> set[str]:
+    """Letters of a script of which text has no other."""
+    found = _SCRIPT.findall(text)
+    scripts = Counter(ord(c) >> 8 for c in found)
+    return {c for c in found if scripts[ord(c) >> 8] < 2}
+
+
+def decoded(garbled: str, wrong: str, intended: str) -> str | None:
+    """What the characters were before they were decoded wrongly, None where a byte has no meaning or the result wouldn't be garbled like this again."""
+    raw = encode(garbled, wrong)
+    if raw is None or raw.isascii():
+        return None
+    try:
+        got = raw.decode(intended)
+        return got if got.encode(intended) == raw else None
+    except UnicodeError:
+        return None
+
+
 def _by_run(text: str, wrong: str, intended: str) -> str:
     """text with each non-ASCII run round-tripped by itself; a run that doesn't survive the strict decoding stays, so lines garbled in part are repaired in part."""
+    got = [decoded(run, wrong, intended) or run for run in _SPLIT.findall(text)]
+    lone = lone_letters("".join(got)) if got else ()
+    parts = iter(got)
 
     def one(m: re.Match) -> str:
-        raw = encode(m.group(), wrong)
-        if raw is None:
-            return m.group()
-        try:
-            got = raw.decode(intended)
-        except UnicodeDecodeError:
-            return m.group()
-        return m.group() if _NEVER.search(got) else got
+        part = next(parts)
+        return m.group() if lone and not lone.isdisjoint(part) else part
 
     return _SPLIT.sub(one, text)
 
 
+_WORD_SPLIT = re.compile(r"[^\s!-/:-@\[-`{-~]*[^\x00-\x7f][^\s!-/:-@\[-`{-~]*")
+_WESTERN = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xde]?[a-z\xdf-\xf6\xf8-\xff\u0153\d'’-]*")
+
+
+def _by_word(text: str, wrong: str, intended: str) -> str:
+    """Like _by_run for intended one-byte encodings, under which nearly all bytes have a meaning: the unit is a word, and the result must be one of small Western letters behind the first.
+
+    Only if a word of three letters or more, half of them at least plain ones, becomes an ordinary one is any word of the line changed.
+    """
+    words = {w: got for w in set(_WORD_SPLIT.findall(text)) if (got := decoded(w, wrong, intended)) and _WESTERN.fullmatch(got)}
+    sure = any(len(got) > 2 and 2 * sum(c.isascii() and c.isalpha() for c in w) >= len(w) and cost(got) < cost(w) for w, got in words.items())
+    return _WORD_SPLIT.sub(lambda m: words.get(m.group(), m.group()), text) if sure else text
+
+
 _HANGUL_SPLIT = re.compile(r"[^\u1100-\u11ff\u3130-\u318f\uac00-\ud7a3\ufffd]+")
 
 
@@ -96,12 +124,7 @@ def _by_stretch(text: str, wrong: str, intended: str) -> str:
     """Like _by_run for intended encodings whose second bytes may be ASCII letters: the unit is a stretch without Hangul, ASCII included."""
 
     def one(m: re.Match) -> str:
-        raw = encode(m.group(), wrong)
-        if raw is None or raw.isascii():
-            return m.group()
-        try:
-            got = raw.decode(intended)
-        except UnicodeDecodeError:
+        if (got := decoded(m.group(), wrong, intended)) is None:
             return m.group()
         high = [c for c in got if c > "\x7f"]
         return got if len(high) > 1 and sum("\uac00" <= c <= "\ud7a3" for c in high) >= 0.9 * len(high) else m.group()
@@ -112,10 +135,10 @@ def _by_stretch(text: str, wrong: str, intended: str) -> str:
 def unwrap(text: str) -> tuple[str, int]:
     """The text after all layers whose removal lowers the cost, and their number."""
     layers, now = 0, cost(text)
-    while now and layers < MAX_LAYERS:
+    while now:
         best, at = text, now
         for wrong, intended in ROUTES:
-            got = (_by_run if intended == "utf-8" else _by_stretch)(text, wrong, intended)
+            got = (_by_run if intended == "utf-8" else _by_stretch if intended == "cp949" else _by_word)(text, wrong, intended)
             if got != text and (c := cost(got)) < at:
                 best, at = got, c
         if best == text:
@@ -125,7 +148,7 @@ def unwrap(text: str) -> tuple[str, int]:
 
 
 #: What only wrong decoding leaves behind: controls, private use, a lead byte's letter before a trail byte's sign.
-_LEFT = re.compile(r"[\x80-\x9f-]|[\xc3\xc2][\xa0-\xbf]|\xe2€|[\xea-\xed][\xa0-\xbf‚-™Œœ]|[԰-ჿƀ-ƑƓ-ʯ]")
+_LEFT = re.compile(r"[\x80-\x9f-]|[\xc3\xc2][\xa0-\xbf]|\xe2€|[\xea-\xed][\xa0-\xbf‚-™Œœ]")
 
 
 def restore(line: str) -> str | None:
@@ -135,11 +158,11 @@ def restore(line: str) -> str | None:
         return ""
     if not layers:
         return None
-    return "" if _LEFT.search(got) else got
+    return "" if _LEFT.search(got) or lone_letters(got) - lone_letters(line) else got
 
 
-#: A line without one of these holds nothing to repair: a control or replacement mark, two foreign signs in a row, Hangul glued to a small Latin letter, an ideograph.
-SUSPECT = r"[\x{80}-\x{9f}\x{fffd}\x{e000}-\x{f8ff}]|[^\x00-\x7f\x{ac00}-\x{d7a3}\x{3131}-\x{318e}]{2}|[a-z][\x{ac00}-\x{d7a3}]|[\x{ac00}-\x{d7a3}][a-z]|[\x{4e00}-\x{9fff}]|[a-z][\x{160}-\x{192}\x{2c6}-\x{2dc}\x{201a}-\x{2122}]"
+#: A line without one of these costs nothing, so there is nothing to repair: a foreign character that isn't Hangul, a dash or an apostrophe, or Hangul glued to a small Latin letter.
+SUSPECT = r"[^\x00-\x7f\x{ac00}-\x{d7a3}\x{2013}\x{2014}\x{2018}\x{2019}]|[a-z\xdf-\xff][\x{ac00}-\x{d7a3}]|[\x{ac00}-\x{d7a3}][a-z]"
 
 
 @F.pandas_udf(T.StringType())
