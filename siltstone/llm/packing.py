@@ -2,13 +2,14 @@
 
 Method: best-two-fit. A container is filled greedily, largest fitting text first; then its smallest text is replaced by two
 unpacked ones that fill the widened gap better, as long as there are such. Texts are dealt to groups of bounded size by hash and
-groups are packed side by side: only a group's last containers stay partly empty, whatever the number of texts.
+groups are packed side by side: only a group's last containers stay partly empty, whatever the number of texts. The full pieces of
+a long text need no packing; they are numbered with their group and never pass through it.
 """
 
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -22,10 +23,8 @@ from siltstone.session import cut
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Texts that a task packs at a time.
 GROUP_ITEMS = 20_000
-#: Container sizes of a call at most.
-MOST_WINDOWS = 1_000
-#: Replacements tried in a container at most; each fills it better.
-SWAPS = 8
+#: Container sizes that are worked off together; more are worked off one such set after another.
+WINDOWS = 100
 
 
 @lru_cache(maxsize=4)
@@ -98,9 +97,7 @@ def best_two_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
             left.take(size)
             held.append(size)
             gap -= size
-        for _ in range(SWAPS):
-            if not gap or not len(left.sizes):
-                break
+        while gap and len(left.sizes):  # each replacement fills the container better
             smallest = held[-1]
             a, b = left.best_two(gap + smallest)
             if a + b <= smallest:
@@ -116,23 +113,23 @@ def best_two_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-PACKED = "window_name string, capacity_tokens int, container_id bigint, position int, doc_id bigint, piece_no int, token_start bigint, n_tokens bigint"
+DEALT = "window_name string, capacity_tokens int, doc_id bigint, full bigint, rest bigint, first_full bigint, container_id bigint, position int"
 
 
 def _pack(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
-    capacity, group = int(items["capacity_tokens"].iloc[0]), int(key[1])
-    items = items.sort_values(["doc_id", "piece_no"], kind="stable")
-    queue: dict[int, list[int]] = {}
-    for row, n in enumerate(items["n_tokens"].to_numpy()):
-        queue.setdefault(int(n), []).append(row)
-    order, number, position = [], [], []
-    for k, held in enumerate(best_two_fit(items["n_tokens"].to_numpy(), capacity)):
+    """Containers of the group's rests, and the numbers of its full pieces behind them."""
+    capacity, group = int(items["capacity_tokens"].iloc[0]), int(key[1]) << 32
+    items = items.sort_values(["doc_id", "rest"], kind="stable").reset_index(drop=True)
+    rests, queue = items["rest"].to_numpy(), {}
+    for row in np.flatnonzero(rests):
+        queue.setdefault(int(rests[row]), []).append(row)
+    number, position, k = np.zeros(len(items), np.int64), np.zeros(len(items), np.int32), -1
+    for k, held in enumerate(best_two_fit(rests[rests > 0], capacity)):
         for p, size in enumerate(held):
-            order.append(queue[size].pop())
-            number.append(k)
-            position.append(p)
-    out = items.iloc[order].assign(container_id=(group << 32) + np.array(number, np.int64), position=np.array(position, np.int32))
-    return out[[c.split()[0] for c in PACKED.split(", ")]]
+            row = queue[size].pop()
+            number[row], position[row] = k, p
+    first = group + k + 1 + np.concatenate([[0], np.cumsum(items["full"].to_numpy())[:-1]])
+    return items.assign(first_full=first.astype(np.int64), container_id=group + number, position=position)[[c.split()[0] for c in DEALT.split(", ")]]
 
 
 def packed(df: DataFrame, key: str, text: str, capacities: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -143,18 +140,27 @@ def packed(df: DataFrame, key: str, text: str, capacities: DataFrame, path: str
     Null texts and those without tokens are no items; repeated rows are items of their own. The same rows and ids give the same
     containers whatever their order.
     """
-    counted = cut(token_counts(df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0), "text", path).select("doc_id", "n_tokens").where("n_tokens > 0"))
-    wanted = capacities.where("capacity_tokens > 0").select("window_name", F.col("capacity_tokens").cast("int")).distinct().limit(MOST_WINDOWS + 1).collect()
-    if len(wanted) > MOST_WINDOWS:
-        raise ValueError(f"more than {MOST_WINDOWS} container sizes")
+    sizes = token_counts(df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0), "text", path)
+    counted = cut(sizes.where("n_tokens > 0").groupBy("doc_id", "n_tokens").agg(F.count("*").alias("_copies")))
+    groups = max(1, -(-(counted.agg(F.sum("_copies")).first()[0] or 0) // GROUP_ITEMS))
+    # copies of one id are dealt to different groups
+    items = counted.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies")).alias("_copy")).withColumn("_group", F.pmod(F.xxhash64("doc_id", "_copy"), F.lit(groups)))
+    wanted = [tuple(r) for r in capacities.where("capacity_tokens > 0").select("window_name", F.col("capacity_tokens").cast("int")).distinct().orderBy("window_name", "capacity_tokens").collect()]
+    sets = [wanted[k : k + WINDOWS] for k in range(0, len(wanted), WINDOWS)] or [[]]
+    return reduce(DataFrame.unionByName, [_packed_for(items, w) for w in sets])
+
+
+def _packed_for(items: DataFrame, wanted: list[tuple[str, int]]) -> DataFrame:
     windows = F.array(*[F.struct(F.lit(w).alias("window_name"), F.lit(c).alias("capacity_tokens")) for w, c in wanted]) if wanted else F.array().cast("array<struct<window_name:string,capacity_tokens:int>>")
-    each = counted.select("doc_id", F.col("n_tokens").alias("_all"), F.inline(windows))
-    starts = F.sequence(F.lit(0).cast("bigint"), F.col("_all") - 1, F.col("capacity_tokens").cast("bigint"))
-    pieces = each.select("*", F.posexplode(starts).alias("piece_no", "token_start")).withColumn("n_tokens", F.least(F.col("_all") - F.col("token_start"), "capacity_tokens")).drop("_all")
-    # full pieces are containers by themselves wherever they go, so the number of texts sets the number of groups
-    groups = max(1, -(-counted.count() // GROUP_ITEMS))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(groups)))
-    return dealt.groupBy("window_name", "_group").applyInPandas(_pack, PACKED)
+    each = items.select("doc_id", "n_tokens", "_group", F.inline(windows))
+    capacity = F.col("capacity_tokens").cast("bigint")
+    dealt = each.select("window_name", "capacity_tokens", "_group", "doc_id", F.floor(F.col("n_tokens") / capacity).alias("full"), (F.col("n_tokens") % capacity).alias("rest"))
+    placed = dealt.groupBy("window_name", "_group").applyInPandas(_pack, DEALT)
+    piece = lambda container, position, number, size: F.struct(container.alias("container_id"), position.alias("position"), number.cast("int").alias("piece_no"), (number * capacity).alias("token_start"), size.alias("n_tokens"))
+    none = F.array().cast("array<struct<container_id:bigint,position:int,piece_no:int,token_start:bigint,n_tokens:bigint>>")
+    whole = F.when(F.col("full") > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1), lambda i: piece(F.col("first_full") + i, F.lit(0), i, capacity))).otherwise(none)
+    rest = F.when(F.col("rest") > 0, F.array(piece(F.col("container_id"), F.col("position"), F.col("full"), F.col("rest")))).otherwise(none)
+    return placed.select("window_name", "capacity_tokens", "doc_id", F.inline(F.concat(whole, rest))).select("window_name", "capacity_tokens", "container_id", "position", "doc_id", "piece_no", "token_start", "n_tokens")
 
 
 def usage(df: DataFrame) -> DataFrame:
