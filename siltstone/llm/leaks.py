@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.words import run_hashes, words
 
-#: Items held by a task at a time; a larger test set is worked off in blocks of this size, each against all documents.
-BLOCK_ITEMS = 20_000
+#: Items, and characters of their passages, held by a task at a time; a larger test set is worked off in blocks of this size, each against all documents.
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 1 << 24
+#: Longest window, so that its positions are the bits of one number.
+MOST_WINDOW = 63
 #: Codes of the words of no passage, of the gap between documents and of the gap between passages.
 OTHER, GAP, EDGE = 0, 1, 2
 
@@ -31,6 +33,8 @@ class Index:
         self.piece = (window + 1) // (max_edits + 2)
         if self.piece < 1:
             raise ValueError("window too short for so many edits")
+        if window > MOST_WINDOW:
+            raise ValueError(f"windows may have {MOST_WINDOW} words at most")
         self.codes: dict[str, int] = {}
         ids, parts = [], []
         for item, passage in items:
@@ -125,11 +129,12 @@ def _task(index: Index):
             lo = np.searchsorted(index.hash, h, "left")
             hit = np.flatnonzero(index.hash[np.minimum(lo, len(index.hash) - 1)] == h) if len(index.hash) else np.empty(0, np.int64)
             count = np.searchsorted(index.hash, h[hit], "right") - lo[hit]
-            where = np.repeat(hit, count)
-            entry = np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(count)[:-1]]) if len(hit) else lo[hit], count) + np.arange(int(count.sum()))
+            reach = np.cumsum(count)
             out = []
-            for k in range(0, len(where), 50_000):
-                a, i = where[k : k + 50_000], entry[k : k + 50_000]
+            for k in range(0, int(count.sum()), 50_000):
+                each = np.arange(k, min(k + 50_000, int(reach[-1])))
+                h = np.searchsorted(reach, each, "right")
+                a, i = hit[h], lo[hit[h]] + each - (reach[h] - count[h])
                 edits = _verify(index, text, a, index.owner[i], index.at[i])
                 ok = edits <= index.max_edits
                 doc = docs[np.searchsorted(at, a[ok], "right") - 1]
@@ -152,7 +157,8 @@ def leaks(docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_key:
     spark = docs.sparkSession
     corpus = docs.select(F.col(doc_key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0)
     wanted = items.select(F.col(item_key).cast("bigint").alias("item_id"), F.col(passage).alias("passage")).where(F.length("passage") > 0).distinct()
-    blocks = -(-wanted.count() // BLOCK_ITEMS) or 1
+    rows, chars = wanted.agg(F.count("*"), F.coalesce(F.sum(F.length("passage")), F.lit(0))).first()
+    blocks = max(1, -(-rows // BLOCK_ITEMS), -(-chars // BLOCK_CHARS))
     found = None
     for b in range(blocks):
         block = wanted.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)) == b).collect()
