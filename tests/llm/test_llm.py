@@ -57,6 +57,64 @@ def test_empty_lexicon_and_held_out_lines(spark, parts):
     assert hits / (hits + misses) > 0.95 and hits / (hits + wrong) > 0.95
 
 
+#: Written by hand, none of it from training_lines(): what stands in square brackets is personal information of the given type.
+BY_HAND = """
+[name:Robert Finch] picked up the keys and left a note for [name:Laura Bianchi].
+Please forward this to [email:r.finch@northwind.example] or ring [phone:020 7946 0123] after five.
+Our new tenant, Mrs [name:Okafor], lives at [address:48 Chestnut Avenue, Leeds].
+Paid by [name:Daniel Osei], reference 5512-88.
+The Grand Canal Hotel opens on Friday Morning.
+Return the form to [name:Helen Strand], [address:P.O. Box 119, Dover].
+[name:Wolfgang Brandt] wohnt in der [address:Lindenallee 7, 04109 Leipzig].
+Bitte [name:Sabine Krüger] unter [phone:089 5551234] anrufen.
+Tél. [phone:01 70 18 99 00], demander [name:Nathalie Perrin].
+Livraison au [address:3 rue des Lilas, 69003 Lyon] avant midi.
+La mairie de Saint Denis est fermée le lundi.
+De heer [name:Jan Vermeer] belt morgen.
+[name:Miguel Santos] said the pump on Red Square was loud.
+Interview mit [name:Petra Lang] über den Roten Faden.
+SSN [id_number:219-09-9999] must not be printed.
+Passport no. [id_number:M12345678] expires in May.
+Order no. 4417-2231-8890 shipped from Port Arthur.
+Serial 900101-1234 is on the back of the Blue Star compressor.
+Release 10.4.2211 of Visual Studio is required.
+The meeting with Deutsche Bahn is in Room Twelve.
+[name:Priya Raman]'s laptop was returned on 2026-03-04.
+Mail [email:helpdesk@acme.example] with the build number 2024-11-05.
+git remote add origin git@code.example.org:tools/press.git
+담당자 [name:박서준]에게 문의하세요.
+[name:이수진] 팀장이 보고서를 검토했다.
+배송지: [address:부산광역시 해운대구 센텀중앙로 97, 12층]
+연락처는 [phone:010-2345-6789] 입니다.
+주문번호 2031-4455-9001 확인 바랍니다.
+오늘 회의는 김치 공장에서 진행한다.
+신제품 이름은 아직 정하지 않았다.
+주민등록번호 [id_number:850315-2345678] 기재
+Call Mr [name:Tanaka] on [phone:+81 3 1234 5678].
+Dr. [name:Elif Yılmaz] and Prof. [name:O’Brien] signed the protocol.
+New Year Party at the Golden Lion, bring a Friend.
+Written on behalf of [name:Agnieszka Wójcik].
+Visit us at [address:221B Baker Street, London].
+port 8080, pid 4312, uptime 20 7946 s
+Total 1 234 567 units in Warehouse North.
+"""
+
+
+def test_lines_written_by_hand(spark, small_dir):
+    from siltstone.llm.queries import table
+
+    lexicon, weights = pii.model(table(spark, small_dir, "name_parts"))
+    hits = misses = wrong = 0
+    for line in BY_HAND.strip().split("\n"):
+        gold = set(re.findall(r"\[(name|email|phone|id_number|address):(.*?)\]", line))
+        text = re.sub(r"\[(?:name|email|phone|id_number|address):(.*?)\]", r"\1", line)
+        got = {(c.kind, text[c.start : c.end]) for c in pii.found(text, lexicon, weights)}
+        hits, misses, wrong = hits + len(gold & got), misses + len(gold - got), wrong + len(got - gold)
+        print(line, gold - got, got - gold) if gold != got else None
+    print("recall", hits / (hits + misses), "precision", hits / (hits + wrong))
+    assert hits / (hits + misses) > 0.8 and hits / (hits + wrong) > 0.8
+
+
 def test_lines_without_a_cue_are_scored(spark, parts):
     rows = [(1, "… Tessa Foxmantle; Corwin Foxmantle"), (2, "… T. Foxmantle, the warehouse is ready."), (3, "… 김하솔 (2026-04-15)"), (4, "a.b at mail dot alder dot example"), (5, "a quiet line"), (6, None)]
     got = {(r.row_id, r.found_text) for r in pii.personal_spans(sourced(spark, rows), parts).collect()}
