@@ -312,9 +312,10 @@ CUTS = "doc_id bigint, cut bigint, check bigint, first bigint, last bigint"
 SPANS = "doc_id bigint, span_start bigint, span_end bigint"
 
 
-def _blocks(texts: DataFrame, gram: int, length: int) -> tuple[DataFrame, bool]:
-    """The blocks of (doc_id, shift, text) whose gram several documents hold, and whether any of these is hot."""
-    cuts = cut(texts.mapInArrow(_cut_task(length, gram), CUTS))
+def _blocks(texts: DataFrame, gone: DataFrame, gram: int, length: int) -> tuple[DataFrame, bool]:
+    """The blocks of (doc_id, shift, text) whose gram several documents hold, without those of gone(doc_id), and whether any of these is hot."""
+    # texts meet a table of their own once only, so that at most one shuffle moves them
+    cuts = cut(texts.mapInArrow(_cut_task(length, gram), CUTS).join(small(gone), "doc_id", "left_anti"))
     wanted = cut(cuts.join(_of_several(cuts, ["cut"]), "cut").groupBy("doc_id").agg(F.collect_list(F.struct("cut", "first", "last", "hot")).alias("_cuts")))
     blocks = texts.join(small(wanted, F.size("_cuts") * 40 + 32), "doc_id").select("doc_id", "text", "_cuts").mapInArrow(_block_task(length), BLOCKS)
     return blocks, not wanted.where(F.exists("_cuts", lambda c: c["hot"])).isEmpty()
@@ -355,10 +356,9 @@ def shared_spans(df: DataFrame, key: str, text: str, length: int = 400) -> DataF
     sums = docs.select("doc_id", F.length("text").alias("n_chars"), F.unhex(F.sha2("text", 256)).alias("sum"))
     groups = sums.groupBy("sum").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("_most")).where("kept <> _most").select("sum", "kept")
     copies = cut(sums.join(groups, "sum").select("doc_id", "n_chars", "kept").distinct())
-    single = docs.join(small(copies.where("doc_id <> kept").select("doc_id")), "doc_id", "left_anti")
 
     first, second, _ = grams(length)
-    blocks, any_hot = _blocks(single, first, length)
+    blocks, any_hot = _blocks(docs, copies.where("doc_id <> kept").select("doc_id"), first, length)
     parsed = lambda b: b.repartition("cut").sortWithinPartitions("cut").mapInArrow(_parse_task(length), SPANS)
     found = parsed(blocks.where("not hot"))
     if any_hot:
