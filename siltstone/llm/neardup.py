@@ -263,20 +263,21 @@ def links(df: DataFrame, key: str, text: str, run: int = 5, similarity: float =
     spark = df.sparkSession
     same = cut(copies(df, key, text))
     rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.length("text") > 0)
-    single = rows.join(small(same.where("id <> kept").select("id")), "id", "left_anti")
+    gone = small(same.where("id <> kept").select("id"))
 
-    counted = single.mapInArrow(_count_task(run, least_words), "shard int, counts binary").repartition("shard").mapInArrow(_sum_task, "shard int, counts binary")
+    counted = rows.mapInArrow(_count_task(run, least_words), "shard int, counts binary").repartition("shard").mapInArrow(_sum_task, "shard int, counts binary")
     counts = np.zeros((SHARDS, COUNTERS // SHARDS), np.uint32)
     for r in counted.collect():  # COUNTERS numbers in all
         counts[r.shard] = np.frombuffer(r.counts, np.uint32)
     sent = spark.sparkContext.broadcast(counts.ravel())
 
     def met(texts: DataFrame, size: int) -> DataFrame:
-        signatures = texts.mapInArrow(_signature_task(run, least_words, similarity, sent, size), "signature bigint, id bigint, n bigint")
-        rows = signatures.repartition("signature").sortWithinPartitions("signature").mapInArrow(_pair_task(similarity), MET)
-        return rows.groupBy("hot", "a", "b").agg(F.count("*").alias("times"), F.min("n").alias("n"))
+        # copies leave here, not before: the texts themselves are not shuffled for them
+        signatures = texts.mapInArrow(_signature_task(run, least_words, similarity, sent, size), "signature bigint, id bigint, n bigint").join(gone, "id", "left_anti").select("signature", "id", "n")
+        lists = signatures.repartition("signature").sortWithinPartitions("signature").mapInArrow(_pair_task(similarity), MET)
+        return lists.groupBy("hot", "a", "b").agg(F.count("*").alias("times"), F.min("n").alias("n"))
 
-    texts, found = single.select("id", "text", F.lit(None).cast("array<bigint>").alias("hot")), []
+    texts, found = rows.select("id", "text", F.lit(None).cast("array<bigint>").alias("hot")), []
     for size in range(1, MOST + 1):
         counted = cut(met(texts, size).where("hot or times >= n" if size == 1 else "true"))
         found.append(counted.where("not hot").select("a", "b"))
@@ -287,7 +288,7 @@ def links(df: DataFrame, key: str, text: str, run: int = 5, similarity: float =
         stay = long if size == MOST else long.where(F.abs("n") * similarity <= size)
         found.append(_block_pairs(stay, similarity))
         hot = cut(long.groupBy("id").agg(F.collect_list("signature").alias("hot")))
-        texts = single.join(small(hot, F.size("hot") * 8 + 32), "id").select("id", "text", "hot")
+        texts = rows.join(small(hot, F.size("hot") * 8 + 32), "id").select("id", "text", "hot")
         if size == 1:
             # two records that both have hot tokens may share fewer others
             both = met(texts, 1).where("not hot and times < n")
@@ -296,7 +297,7 @@ def links(df: DataFrame, key: str, text: str, run: int = 5, similarity: float =
     candidates = cut(reduce(DataFrame.unionByName, found).distinct())
 
     wanted = cut(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = cut(single.join(small(wanted), "id", "left_semi").mapInArrow(_set_task(run, least_words), "id bigint, tokens array<bigint>"))
+    sets = cut(rows.join(small(wanted), "id", "left_semi").mapInArrow(_set_task(run, least_words), "id bigint, tokens array<bigint>"))
     left, right = sets.select(F.col("id").alias("a"), F.col("tokens").alias("_x")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("_y"))
     both = candidates.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("_x", "_y")))
     jaccard = F.col("common") / (F.size("_x") + F.size("_y") - F.col("common"))
