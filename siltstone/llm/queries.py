@@ -134,12 +134,23 @@ steps as (select doc_id, i, case when i <= 400 + lag(i) over (partition by doc_i
 runs as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as run from steps),
 spans as (select doc_id, min(i) as span_start, max(i) + 400 as span_end from runs group by doc_id, run)
 """
-SQL: dict[str, str] = {
-    "p3_found": f"""with sets as (select distinct id, run from ({_RUNS.format(key='id', less=2, words=_WORDS.format('content'), table='catalog_records', text='content')}) where id in
+_SETS = f"""sets as (select distinct id, run from ({_RUNS.format(key='id', less=2, words=_WORDS.format('content'), table='catalog_records', text='content')}) where id in
   (select id from catalog_records where len({_WORDS.format('content')}) >= 25)),
-sizes as (select id, count(*) as n from sets group by id),
+sizes as (select id, count(*) as n from sets group by id)"""
+_NEAR = "select id_a, id_b from common c join sizes x on x.id = id_a join sizes y on y.id = id_b where c.n >= 0.6 * (x.n + y.n - c.n) - 1e-9"
+SQL: dict[str, str] = {
+    "p3_found": f"""with {_SETS},
 common as (select a.id as id_a, b.id as id_b, count(*) as n from sets a join sets b on a.run = b.run and a.id < b.id group by 1, 2)
-select id_a, id_b from common c join sizes x on x.id = id_a join sizes y on y.id = id_b where c.n >= 0.6 * (x.n + y.n - c.n) - 1e-9""",
+{_NEAR}""",
+    "p3_groups": f"""with recursive {_SETS},
+members as (select id, min(id) over (partition by content) as kept, count(*) over (partition by content) as held from (select distinct id, content from catalog_records where content <> '')),
+firsts as (select * from sets where id in (select kept from members)),
+common as (select a.id as id_a, b.id as id_b, count(*) as n from firsts a join firsts b on a.run = b.run and a.id < b.id group by 1, 2),
+near as ({_NEAR}),
+edges as (select id_a as a, id_b as b from near union all select id_b, id_a from near),
+reach as (select distinct a, a as b from edges union select r.a, e.b from reach r join edges e on e.a = r.b),
+labels as (select a, min(b) as label from reach group by 1), degrees as (select a, count(*) as links from edges group by 1)
+select id, coalesce(label, kept) as group_id, coalesce(links, 0)::bigint as links from members left join labels l on l.a = kept left join degrees d on d.a = kept where held > 1 or label is not null""",
     "p7_found": f"""with docs as ({_RUNS.format(key='doc_id', less=12, words=_WORDS.format('text'), table='documents', text='text')}), items as ({_RUNS.format(key='item_id', less=12, words=_WORDS.format('passage'), table='eval_items', text='passage')})
 select distinct doc_id, item_id from docs join items using (run)""",
     "p8_found": _P8 + "select * from spans",
