@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,7 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g"
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -27,10 +29,15 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written once to the checkpoint folder that all executors share, and read from there: no later loss of an executor reruns what is before."""
+    """df written once to the checkpoint folder that all executors share, and read from there: no later loss of an executor reruns what is before.
+
+    The folder is that of the session or of spark.checkpoint.dir; only a session whose tasks all run in this process may do without.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
 
