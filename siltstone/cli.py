@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from pathlib import Path
 
 from siltstone.catalog import Catalog, CatalogError
 from siltstone.session import local_session
@@ -14,27 +15,37 @@ from siltstone.sources.settings import Settings, SettingsError
 SAMPLE = 20
 
 
-def _sample(df, column: str) -> dict:
-    return {"count": df.count(), "sample": [r[0] for r in df.select(column).orderBy(column).limit(SAMPLE).collect()]}
+def _sample(df, column: str, name: str) -> dict:
+    return {f"{name}_count": df.count(), f"{name}_sample": [r[0] for r in df.select(column).orderBy(column).limit(SAMPLE).collect()]}
 
 
 def run(args: argparse.Namespace) -> tuple[int, dict]:
-    settings = Settings.load(args.env_file)
+    """Exit code and answer of a command."""
+    settings = Settings.load(args.env_file or (".env" if Path(".env").is_file() else None))
+    if args.command == "query" and args.limit < 1:
+        raise SettingsError("--limit must be above 0")
     catalog = Catalog(local_session("*"), settings)
+    places = {"root": settings.root, "home": settings.home}
+    pages_index = {"wiki_index": str(Path(settings.home, "wiki/index.md"))}
+    answer: dict = {"command": args.command}
     if args.command == "index":
         synced = catalog.sync(args.retry_unreadable)
-        return 0, synced["counts"] | {"changed": _sample(synced["changed"], "relative_path"), "removed": _sample(synced["removed"], "wiki_path")} | catalog.compile(synced)
+        counts = synced["counts"] | _sample(synced["changed"], "relative_path", "changed_path") | _sample(synced["removed"], "wiki_path", "removed_wiki_path")
+        return 0, answer | places | {"retry_unreadable": args.retry_unreadable, "sync": counts, "compiled": catalog.compile(synced)} | pages_index
     if args.command == "query":
-        if args.limit < 1:
-            raise SettingsError("--limit must be above 0")
-        hits = [r.asDict() for r in catalog.search(args.question, args.limit).collect()]
-        wiki.append_log(settings.home, "Query", {"Question": args.question, "Retrieved pages": len(hits)})
-        return 0, {"question": args.question, "results": hits}
+        results = [
+            {"relative_path": r.relative_path, "source_path": r.absolute_path, "wiki_path": str(Path(settings.home, r.wiki_path).resolve()), "status": r.status, "excerpt": r.excerpt, "score": r.score}
+            for r in catalog.search(args.question, args.limit).collect()
+        ]
+        wiki.append_log(settings.home, "Query", {"Question": args.question, "Retrieved pages": len(results)})
+        return 0, answer | {"question": args.question, "results": results}
     if args.command == "status":
-        counts = [r.asDict() for r in wiki.status_counts(catalog.entries).orderBy("kind", "status").collect()]
-        return 0, {"root": settings.root, "home": settings.home, "counts": counts}
-    issues = catalog.lint()
-    return int(bool(issues)), {"ok": not issues, "issues": issues}
+        counts = wiki.status_counts(catalog.entries).collect()
+        number = {kind: sum(r.entries for r in counts if r.kind == kind) for kind in ("file", "directory")}
+        by_status = {r.status: r.entries for r in sorted(counts) if r.kind == "file"}
+        return 0, answer | places | {"files": number["file"], "directories": number["directory"], "extraction_status": by_status, "search_backend": "postings"} | pages_index
+    issues = [r.message for r in catalog.lint().toLocalIterator()]
+    return int(bool(issues)), answer | {"issues": issues, "ok": not issues}
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -53,7 +64,7 @@ def main(argv: list[str] | None = None) -> int:
     try:
         code, payload = run(args)
     except (SettingsError, CatalogError) as e:
-        print(json.dumps({"error": str(e)}) if args.json else f"error: {e}", file=sys.stderr)
+        print(f"Configuration error: {e}", file=sys.stderr)
         return 2
     print(json.dumps(payload, indent=2) if args.json else "\n".join(f"{k}: {v}" for k, v in payload.items()))
     return code

@@ -30,3 +30,13 @@ def corpus_stats(stats: DataFrame) -> DataFrame:
 def term_stats(posts: DataFrame) -> DataFrame:
     """(term, n_chunks, n_occurrences): occurrences add up before the shuffle, so frequent terms don't make large groups."""
     return posts.groupBy("term", "chunk_id").agg(F.count("*").alias("_n")).groupBy("term").agg(F.count("*").alias("n_chunks"), F.sum("_n").alias("n_occurrences"))
+
+
+def current_postings(posts: DataFrame, fresh: DataFrame, gone: DataFrame) -> DataFrame:
+    """The postings after a sync: those of changed or removed entries gone, those of fresh chunks added. gone has entry_id."""
+    return posts.join(gone.select("entry_id").distinct(), "entry_id", "left_anti").select(posts.columns).unionByName(postings(fresh))
+
+
+def current_stats(stats: DataFrame, chunks: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Lengths of the chunks that stay, and of fresh ones."""
+    return stats.join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").unionByName(chunk_stats(fresh))

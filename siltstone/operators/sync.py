@@ -28,6 +28,16 @@ def diff(scan: DataFrame, entries: DataFrame, retry: tuple[str, ...] = ()) -> Da
     return new.join(old, "relative_path", "full_outer").select("relative_path", change.alias("change"))
 
 
+def spared(changes: DataFrame, failed: DataFrame) -> DataFrame:
+    """(relative_path, change) with nothing removed that a scan couldn't see: failed(relative_path) are the files and folders that it couldn't read; what is there or below stays unchanged."""
+    parts = F.split("relative_path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    gone = changes.where("change = 'removed'").select("relative_path", F.explode(above).alias("_above"))
+    unseen = gone.join(failed.select(F.col("relative_path").alias("_above")), "_above", "left_semi").select("relative_path").distinct()
+    marked = changes.join(unseen.withColumn("_unseen", F.lit(True)), "relative_path", "left")
+    return marked.select("relative_path", F.when(F.col("_unseen"), "unchanged").otherwise(F.col("change")).alias("change"))
+
+
 def settled(changes: DataFrame, results: DataFrame, entries: DataFrame) -> DataFrame:
     """(relative_path, change) with each retry settled: unchanged if extraction gave the same again, updated if not. results(relative_path, status, extractor, error, sha256) are the extractions of changed and retried files."""
     new = results.select("relative_path", F.struct(*EXTRACTED).alias("_new"))

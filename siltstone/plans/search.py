@@ -79,10 +79,10 @@ def phrase_scores(asked: DataFrame, posts: DataFrame, stats: DataFrame) -> DataF
     return scored.select("phrase", "chunk_id", "entry_id", *[bm25(F.col(c), rarity, F.col("n_tokens"), average).alias(c) for c in ("weighted", "plain")])
 
 
-def word_scores(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+def word_scores(asked: DataFrame, chunks: DataFrame, posts: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """(word, chunk_id, chunk_index, entry_id, weighted, plain) of the asked words that a chunk satisfies; only satisfied branches score. A word counts once however many questions ask for it."""
     phrases = asked.select("word", "branch", "branch_size", "_copy", "phrase", "field", "terms").distinct()
-    scores = phrase_scores(phrases.select("phrase", "field", "terms").where(F.size("terms") > 0).distinct(), postings(chunks), chunk_stats(chunks))
+    scores = phrase_scores(phrases.select("phrase", "field", "terms").where(F.size("terms") > 0).distinct(), postings(chunks) if posts is None else posts, chunk_stats(chunks) if stats is None else stats)
     branches = phrases.drop("field", "terms").join(scores, "phrase").groupBy("word", "branch", "branch_size", "chunk_id", "entry_id").agg(F.count("*").alias("_met"), F.sum("weighted").alias("weighted"), F.sum("plain").alias("plain"))
     words = branches.where("_met = branch_size").groupBy("word", "chunk_id", "entry_id").agg(F.sum("weighted").alias("weighted"), F.sum("plain").alias("plain"))
     return words.join(chunks.select(F.col("id").alias("chunk_id"), "chunk_index"), "chunk_id")
@@ -149,11 +149,14 @@ def ranked(found: DataFrame, entries: DataFrame, limit: int) -> DataFrame:
     return joined.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def prepared(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The clauses of questions with all phrases, the same with one row a word, and the scores of the words; each written once."""
+def prepared(queries: DataFrame, chunks: DataFrame, posts: DataFrame | None = None, stats: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The clauses of questions with all phrases, the same with one row a word, and the scores of the words; each written once.
+
+    posts and stats are those of chunks where they are stored; without them chunks are read term by term.
+    """
     phrases = cut(clauses(queries))
     asked = cut(phrases.select("query_id", "n_clauses", "clause", "word", "token").distinct())
-    return phrases, asked, cut(word_scores(phrases, chunks))
+    return phrases, asked, cut(word_scores(phrases, chunks, posts, stats))
 
 
 def clause_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -162,14 +165,22 @@ def clause_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return asked.join(scores, "word").select("query_id", "clause", "chunk_id", "entry_id", "weighted", "plain")
 
 
-def search(queries: DataFrame, chunks: DataFrame, entries: DataFrame, limit: int = 5) -> DataFrame:
+def distinct_questions(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_id, query_text) of one question for each text, and (query_id, asked_id) of all of them: equal questions are answered once."""
+    one = queries.where("query_text is not null").groupBy("query_id").agg(F.min("query_text").alias("query_text"))
+    texts = cut(one.groupBy("query_text").agg(F.min("query_id").alias("asked_id")))
+    return texts.select(F.col("asked_id").alias("query_id"), "query_text"), one.join(texts, "query_text").select("query_id", "asked_id")
+
+
+def search(queries: DataFrame, chunks: DataFrame, entries: DataFrame, limit: int = 5, posts: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, stage, relative_path, absolute_path, wiki_path, status, excerpt, score) for queries(query_id, query_text).
 
     chunks(id, entry_id, chunk_index, relative_path, content, ngrams) must hold each id once, entries each id once. stage is 0 for
     files that hold the words in one chunk, 1 across chunks; scores compare within a stage. Questions without tokens or hits
     have no rows, a limit below 1 gives none at all. A file without text is found by its path, which is its excerpt then.
     """
-    _, asked, scores = prepared(queries, chunks)
+    texts, ids = distinct_questions(queries)
+    _, asked, scores = prepared(texts, chunks, posts, stats)
     chosen = cut(chosen_groups(asked, scores))
     same = cut(same_chunk(wanted_scores(asked, scores, chosen)))
     # questions with enough files of stage 0 need no others: whatever their scores, those would rank behind
@@ -182,4 +193,5 @@ def search(queries: DataFrame, chunks: DataFrame, entries: DataFrame, limit: int
     tokens = words.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("clause", "token"))), lambda w: w["token"]).alias("_tokens"))
     shown = hits.join(chunks.select(F.col("id").alias("chunk_id"), "content"), "chunk_id").join(tokens, "query_id")
     excerpt = F.when(F.length("content") > 0, text.excerpt(F.col("content"), F.col("_tokens"))).otherwise(F.col("relative_path"))
-    return shown.select("query_id", "rank", "stage", "relative_path", "absolute_path", text.page_path(F.col("relative_path")).alias("wiki_path"), "status", excerpt.alias("excerpt"), "score")
+    answers = shown.withColumnRenamed("query_id", "asked_id").join(ids, "asked_id")
+    return answers.select("query_id", "rank", "stage", "relative_path", "absolute_path", text.page_path(F.col("relative_path")).alias("wiki_path"), "status", excerpt.alias("excerpt"), "score")

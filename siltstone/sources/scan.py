@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import suffix
+from siltstone.functions.text import folded, suffix
 from siltstone.sources.settings import Settings
 
 SCHEMA = "absolute_path string, relative_path string, kind string, size bigint, mtime_ns bigint, error string"
@@ -34,13 +34,13 @@ def _list(root: str, folder: str, settings: Settings) -> Iterator[tuple]:
     try:
         found = sorted(os.scandir(folder), key=lambda e: e.name.casefold())
     except OSError as e:
-        yield folder, None, "error", None, None, str(e)
+        yield folder, os.path.relpath(folder, root).replace(os.sep, "/"), "error", None, None, str(e)
         return
     for entry in found:
         try:
             status = entry.stat(follow_symlinks=False)
         except OSError as e:
-            yield entry.path, None, "error", None, None, str(e)
+            yield entry.path, os.path.relpath(entry.path, root).replace(os.sep, "/"), "error", None, None, str(e)
             continue
         relative, folded = os.path.relpath(entry.path, root).replace(os.sep, "/"), entry.name.casefold()
         if stat.S_ISDIR(status.st_mode):
@@ -54,7 +54,8 @@ def _list(root: str, folder: str, settings: Settings) -> Iterator[tuple]:
 def scan_tree(spark: SparkSession, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """(entries, errors) below the root: level by level, the folders of a level listed side by side by the executors, which must see the tree.
 
-    entries has absolute_path, relative_path, kind, size, mtime_ns; errors has absolute_path and error. Links are never followed.
+    entries has absolute_path, relative_path, kind, size, mtime_ns; errors has absolute_path, relative_path ('.' for the root) and
+    error. Links are never followed. Neither has an order; in_scan_order() gives it.
     """
     from siltstone.session import cut
 
@@ -71,4 +72,9 @@ def scan_tree(spark: SparkSession, settings: Settings) -> tuple[DataFrame, DataF
         level = listed.where("kind = 'directory'").select("absolute_path")
         if level.isEmpty():
             break
-    return found.where("kind <> 'error'").drop("error"), found.where("kind = 'error'").select("absolute_path", "error")
+    return found.where("kind <> 'error'").drop("error"), found.where("kind = 'error'").select("absolute_path", "relative_path", "error")
+
+
+def in_scan_order(entries: DataFrame) -> DataFrame:
+    """entries by path without regard to case."""
+    return entries.orderBy(folded(F.col("relative_path")), "relative_path")
