@@ -11,6 +11,7 @@ from siltstone.functions import text
 from siltstone.operators import chunks, index, snapshots, sync
 from siltstone.plans import search
 from siltstone.queries import sql
+from siltstone.session import cut
 from siltstone.sinks import wiki
 from siltstone.sources import extract, scan
 from siltstone.sources.settings import EXCLUDED_DIRECTORIES
@@ -75,7 +76,8 @@ def p4_changed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENTRIES = "entries as (select id, relative_path, absolute_path, {status} as status from catalog_records)"
 #: Statuses of files that couldn't be read, for the check of their rank only; the given records were all read.
 UNREAD = "case when id % 7 = 0 then 'error' when id % 11 = 0 then 'unsupported' else status end"
-LOGGED = "select query_id, query_text from search_hits where query_text is not null"
+#: The questions asked: every twentieth of the logged ones, against all chunks.
+LOGGED = "select query_id, query_text from search_hits where query_text is not null and query_id % 20 = 0"
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +85,7 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "search_hits").select("query_id", "query_text").where("query_text is not null")
+    return table(spark, sf_dir, "search_hits").select("query_id", "query_text").where("query_text is not null and query_id % 20 = 0")
 
 
 def _entries(spark: SparkSession, sf_dir: str, status: str = "status") -> DataFrame:
@@ -102,7 +104,7 @@ from hits_ranked h join chunks c on c.id = h.chunk_id join group_tokens g on g.q
 
 @query(f"with {ENTRIES.format(status='status')}, {sql.ladder(LOGGED)} {HIT_SQL}")
 def search_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every logged question, its first five files."""
+    """The first five files of each question."""
     return search.search(_questions(spark, sf_dir), _chunks(spark, sf_dir), _entries(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
@@ -115,7 +117,7 @@ def search_demoted_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {sql.scores(LOGGED)} select query_id, clause::int as clause, chunk_id, round(weighted, 6) as weighted, round(plain, 6) as plain from satisfied")
 def bm25_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score of every satisfied word of every logged question in every chunk, with and without field weights."""
+    """Score of every satisfied word of the questions in every chunk, with and without field weights."""
     return search.clause_scores(_questions(spark, sf_dir), _chunks(spark, sf_dir)).select("query_id", "clause", "chunk_id", F.round("weighted", 6).alias("weighted"), F.round("plain", 6).alias("plain"))
 
 
@@ -138,13 +140,13 @@ def cross_chunk_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Hyphenated names of the catalog's own pages: phrases of neighbouring terms.
-NAMES = f"select id as query_id, {sql.stem('relative_path')} as query_text from catalog_records"
+NAMES = f"select id as query_id, {sql.stem('relative_path')} as query_text from catalog_records where id % 20 = 0"
 
 
 @query(f"with {sql.scores(NAMES)} select query_id, chunk_id, count(*) as words, round(sum(weighted), 6) as score from satisfied group by 1, 2")
 def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every file's own name as a question; hyphenated parts must stand next to each other."""
-    names = table(spark, sf_dir, "catalog_records").select(F.col("id").alias("query_id"), text.stem(F.col("relative_path")).alias("query_text"))
+    """The names of every twentieth file as questions to all; hyphenated parts must stand next to each other."""
+    names = table(spark, sf_dir, "catalog_records").where("id % 20 = 0").select(F.col("id").alias("query_id"), text.stem(F.col("relative_path")).alias("query_text"))
     return search.clause_scores(names, _chunks(spark, sf_dir)).groupBy("query_id", "chunk_id").agg(F.count("*").alias("words"), F.round(F.sum("weighted"), 6).alias("score"))
 
 
@@ -212,12 +214,12 @@ def fence_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_sql(budget: int) -> str:
-    line = f"[^{text.LINE_END}\\r]*(?:\\r\\n|[{text.LINE_END}\\r])|[^{text.LINE_END}\\r]+"
+    line = f"[^{sql.LINE_END}\\r]*(?:\\r\\n|[{sql.LINE_END}\\r])|[^{sql.LINE_END}\\r]+"
     return f"""with recursive lines as (select id, unnest(regexp_extract_all(content, '{line}')) as line, generate_subscripts(regexp_extract_all(content, '{line}'), 1) as n from catalog_records where content <> ''),
 grouped as (select *, (strlen(line) > {budget})::int as long, 2 * sum((strlen(line) > {budget})::int) over (partition by id order by n) - (strlen(line) > {budget})::int as part from lines),
 units as (
-  select id, n, part, unnest(case when long = 1 then regexp_extract_all(line, '[^{text.SPACE}]+[{text.SPACE}]*|[{text.SPACE}]+') else [line] end) as unit,
-    generate_subscripts(case when long = 1 then regexp_extract_all(line, '[^{text.SPACE}]+[{text.SPACE}]*|[{text.SPACE}]+') else [line] end, 1) as m from grouped),
+  select id, n, part, unnest(case when long = 1 then regexp_extract_all(line, '[^{sql.SPACE}]+[{sql.SPACE}]*|[{sql.SPACE}]+') else [line] end) as unit,
+    generate_subscripts(case when long = 1 then regexp_extract_all(line, '[^{sql.SPACE}]+[{sql.SPACE}]*|[{sql.SPACE}]+') else [line] end, 1) as m from grouped),
 numbered as (select id, part, unit, strlen(unit) as size, row_number() over (partition by id order by n, m) as k from units),
 packed as (
   select id, k, part, 0 as chunk_index, size as held from numbered where k = 1
@@ -284,6 +286,8 @@ def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     numbers = [r[0] for r in entries.select("snapshot_no").distinct().orderBy(F.desc("snapshot_no")).limit(2).collect()]
     columns = [c for c in entries.columns if c not in ("snapshot_no", "delivered_at", "id", "relative_path")]
     last = entries.groupBy("snapshot_no", "relative_path").agg(F.max(F.struct("delivered_at", "id", *columns)).alias("_r")).select("snapshot_no", "relative_path", "_r.id", *[f"_r.{c}" for c in columns])
+    # both are joined several times
+    last = cut(last.where(F.col("snapshot_no").isin(numbers)))
     this, before = (last.where(F.col("snapshot_no") == n).drop("snapshot_no") for n in numbers)
     return this, before
 
@@ -340,9 +344,10 @@ def size_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EXCLUDED = (*EXCLUDED_DIRECTORIES, "shared", "yellow")
+_NAMES = "'.git', '.hg', '.svn', '.omx', '__pycache__', '.venv', 'build', 'dist', 'download', 'downloads', 'env', 'node_modules', 'site-packages', 'third-party', 'third_party', 'vendor', 'venv', 'shared', 'yellow'"
 
 
-@query(f"""select distinct relative_path from catalog_entries where not list_has_any(case when kind = 'directory' then string_split(lower(relative_path), '/') else string_split(lower(relative_path), '/')[:-2] end, [{sql.quoted(EXCLUDED)}])
+@query(f"""select distinct relative_path from catalog_entries where not list_has_any(case when kind = 'directory' then string_split(lower(relative_path), '/') else string_split(lower(relative_path), '/')[:-2] end, [{_NAMES}])
 and len(list_filter(case when kind = 'directory' then string_split(lower(relative_path), '/') else string_split(lower(relative_path), '/')[:-2] end, lambda f: f like '%.git' or f like 're%')) = 0
 and (kind = 'directory' or {sql.suffix('relative_path')} not in ('.csv', '.toml'))""")
 def scan_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,34 +1,40 @@
-"""Pieces of SQL that several checks share; each function returns an expression or a list of common table expressions for DuckDB."""
+"""Pieces of SQL that several checks share; each function returns an expression or a list of common table expressions for DuckDB.
 
-from __future__ import annotations
-
-from siltstone.functions import text
-from siltstone.plans.search import B, K1, LEAST_IDF
+Nothing here comes from the code that is checked: constants and patterns are spelled out again.
+"""
 
+from __future__ import annotations
 
-def quoted(values) -> str:
-    return ", ".join(f"'{v}'" for v in values)
+# Fixed values of the catalog: character blocks, white space, line ends, stop words, letters without their mark, constants of the score.
+CJK = r"[\x{1100}-\x{11ff}\x{3130}-\x{318f}\x{a960}-\x{a97f}\x{ac00}-\x{d7a3}\x{2e80}-\x{9fff}\x{f900}-\x{faff}]"
+SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+LINE_END = r"\n\x{b}\x{c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}"
+STOPWORDS = "'a', 'an', 'and', 'are', 'case', 'dataset', 'does', 'find', 'for', 'how', 'in', 'is', 'illustrate', 'me', 'of', 'please', 'problem', 'show', 'tell', 'the', 'to', 'what', 'when', 'where', 'who', 'why', '누구', '누구야', '뭐야', '무엇', '어디', '언제', '왜', '어떻게', '알려줘', '찾아줘', '보여줘'"
+MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżžơưǎǐǒǔǣǧǩǫǯǰǵǹǽǿȁȃȅȇȉȋȍȏȑȓȕȗșțȟȧȩȯȳ"
+PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzzouaiouægkoʒjgnæøaaeeiioorruusthaeoy"
+K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
 def bigrams(x: str, stride: int = 1) -> str:
-    return f"flatten(list_transform(regexp_extract_all({x}, '{text.CJK}{{2,}}'), lambda r: list_transform(range(1, length(r), {stride}), lambda i: substring(r, i, 2))))"
+    return f"flatten(list_transform(regexp_extract_all({x}, '{CJK}{{2,}}'), lambda r: list_transform(range(1, length(r), {stride}), lambda i: substring(r, i, 2))))"
 
 
 def index_tokens(x: str) -> str:
-    return f"regexp_extract_all(translate(regexp_replace(lower({x}), '[\\x{{300}}-\\x{{36f}}]', '', 'g'), '{text.MARKED}', '{text.PLAIN}'), '{text.INDEX_TOKEN}')"
+    lowered = f"regexp_replace(lower({x}), '[\\x{{300}}-\\x{{36f}}]', '', 'g')"
+    return f"regexp_extract_all(translate({lowered}, '{MARKED}', '{PLAIN}'), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')"
 
 
 def query_tokens(x: str) -> str:
-    kept = f"list_filter(regexp_extract_all({x}, '{text.QUERY_TOKEN}'), lambda t: lower(t) not in ({quoted(text.STOPWORDS)}))"
+    kept = f"list_filter(regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}_]+(?:-[\\p{{L}}\\p{{N}}_]+)*'), lambda t: lower(t) not in ({STOPWORDS}))"
     return f"list_filter({kept}, lambda t, i: list_position(list_transform({kept}, lambda u: lower(u)), lower(t)) = i)"
 
 
-def excerpt(content: str, tokens: str, n: int = text.EXCERPT_LENGTH) -> str:
+def excerpt(content: str, tokens: str, n: int = 320) -> str:
     at = f"coalesce(list_min(list_filter(list_transform({tokens}, lambda t: strpos(lower({content}), lower(t))), lambda p: p > 0)), 1) - 1"
     first = f"greatest(0, {at} - {n // 3})"
     end = f"least(length({content}), {first} + {n})"
     start = f"(case when {end} - {first} < {n} then greatest(0, {end} - {n}) else {first} end)"
-    window = f"trim(regexp_replace(substring({content}, {start} + 1, {end} - {start}), '[{text.SPACE}]+', ' ', 'g'))"
+    window = f"trim(regexp_replace(substring({content}, {start} + 1, {end} - {start}), '[{SPACE}]+', ' ', 'g'))"
     return f"(case when length({content}) > 0 then concat(case when {start} > 0 then '… ' else '' end, {window}, case when {end} < length({content}) then ' …' else '' end) else '' end)"
 
 
