@@ -1,5 +1,6 @@
 """Chunks, search, sync, snapshots, pages, files and commands on small hand-made fixtures."""
 
+import hashlib
 import io
 import json
 import os
@@ -11,7 +12,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltstone.catalog import Catalog, CatalogError
-from siltstone.operators import chunks, snapshots, sync
+from siltstone.functions import text
+from siltstone.operators import chunks, index, snapshots, sync
 from siltstone.plans.search import search
 from siltstone.sources import extract, scan
 from siltstone.sources.settings import Settings, SettingsError
@@ -131,23 +133,37 @@ def office(parts: dict[str, str]) -> bytes:
 W = 'xmlns:w="w"'
 
 
-def test_office_documents():
-    docx = office({"word/document.xml": f"<w:d {W}><w:p><w:t>Hello </w:t><w:t>world</w:t></w:p><w:p/><w:p><w:t>Second line</w:t></w:p></w:d>"})
-    assert extract.extracted(".docx", docx)[:3] == ("extracted", "Hello world\nSecond line", "ooxml:docx")
+def read(spark, rows, limit=extract.MAX_BYTES):
+    """Results of (suffix, bytes) in order."""
+    df = spark.createDataFrame([(i, k, r) for i, (k, r) in enumerate(rows)], "i int, kind string, raw binary")
+    return [r.r for r in df.select("i", extract.extract(F.col("kind"), F.col("raw"), limit).alias("r")).orderBy("i").collect()]
+
+
+def test_office_documents(spark):
+    docx = office({"word/document.xml": f"<w:d {W}><w:p><w:t>The ledger </w:t><w:t>is open</w:t></w:p><w:p/><w:p><w:t> second row </w:t></w:p></w:d>"})
     slide = lambda t: f'<a:s xmlns:a="a"><a:t>{t}</a:t></a:s>'
-    assert extract.extracted(".pptx", office({"ppt/slides/slide10.xml": slide("Tenth"), "ppt/slides/slide2.xml": slide("Second")}))[1] == "Slide 2\nSecond\n\nSlide 10\nTenth"
-    sheet = '<s><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>Inline value</t></is></c><c r="C1"><v>42</v></c><c r="D1"/></s>'
-    assert extract.extracted(".xlsx", office({"xl/sharedStrings.xml": "<x><si><t>Shared value</t></si></x>", "xl/worksheets/sheet1.xml": sheet}))[1] == "Sheet 1\nA1: Shared value\nB1: Inline value\nC1: 42"
+    pptx = office({"ppt/slides/slide10.xml": slide("ten"), "ppt/slides/slide2.xml": slide("two")})
+    sheet = '<s><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>in place</t></is></c><c r="C1"><v>7</v></c><c r="D1"/></s>'
+    xlsx = office({"xl/sharedStrings.xml": "<x><si><t>shared</t></si></x>", "xl/worksheets/sheet1.xml": sheet})
+    beyond = office({"xl/worksheets/sheet1.xml": '<s><c r="A1" t="s"><v>5</v></c></s>'})
+    got = read(spark, [(".docx", docx), (".pptx", pptx), (".xlsx", xlsx), (".docx", b"no zip"), (".docx", office({"x": ""})), (".xlsx", beyond), (".docx", None)])
+    assert (got[0].status, got[0].content, got[0].extractor) == ("extracted", "The ledger is open\nsecond row", "ooxml:docx")
+    assert got[1].content == "Slide 2\ntwo\n\nSlide 10\nten" and got[2].content == "Sheet 1\nA1: shared\nB1: in place\nC1: 7"
+    assert [g.status for g in got[3:]] == ["error"] * 4 and all(got[k].error.startswith("Extraction failed") for k in (4, 5)) and got[6].sha256 == ""
     bomb = office({"word/document.xml": f"<w:d {W}><w:p><w:t>{'a' * 20000}</w:t></w:p></w:d>"})
-    assert len(bomb) < 2000 and extract.extracted(".docx", bomb, 2000)[0] == "too_large"
-    assert extract.extracted(".docx", b"no zip")[0] == "error" and extract.extracted(".docx", office({"x": ""}))[3].startswith("Extraction failed")
+    assert len(bomb) < 2000 and [g.status for g in read(spark, [(".docx", bomb), (".txt", b"a" * 2001)], 2000)] == ["too_large", "too_large"]
 
 
-def test_text_and_binary():
-    assert extract.extracted(".md", "글".encode())[2] == "text:utf-8-sig" and extract.extracted(".txt", "한글 파일".encode("cp949"))[1:3] == ("한글 파일", "text:cp949")
-    assert extract.extracted(".bin", b"a\0b")[0] == "unsupported" and extract.extracted("", "plain".encode())[2] == "text-sniffed:utf-8-sig"
-    assert extract.extracted(".bin", "hi".encode("utf-16"))[2] == "text-sniffed:utf-16" and extract.extracted(".bin", b"")[1] == ""
-    assert extract.extracted(".pdf", b"%PDF-")[0] == "error" and extract.extracted(".ppt", b"x")[0] == "error"
+def test_text_and_binary(spark):
+    rows = [
+        (".md", "글".encode()), (".txt", "한글 파일".encode("cp949")), (".bin", b"a\0b"), ("", b"plain"), (".bin", "hi".encode("utf-16")), (".bin", b""), (".pdf", b"%PDF-"), (".ppt", b"x"), (".txt", "\ufeffmarked".encode()), (".bin", b"\xff\xfea"),
+        (".bin", bytes(range(1, 32)) * 3), (".txt", b"\xff\xff\x80a\x80"), (".bin", "한글 파일 두 개".encode("cp949")),
+    ]
+    got = read(spark, rows)
+    assert [(g.status, g.content, g.extractor) for g in got[:2]] == [("extracted", "글", "text:utf-8-sig"), ("extracted", "한글 파일", "text:cp949")]
+    assert got[2].status == "unsupported" and got[2].error == "Unsupported file type: .bin" and got[3].extractor == "text-sniffed:utf-8-sig" and (got[4].content, got[4].extractor) == ("hi", "text-sniffed:utf-16")
+    assert (got[5].status, got[5].content) == ("extracted", "") and got[6].status == got[7].status == "error" and got[8].content == "marked" and got[9].status == got[10].status == "unsupported"
+    assert got[11].extractor == "text:latin-1" and got[12].extractor == "text-sniffed:cp949" and got[0].sha256 == hashlib.sha256("글".encode()).hexdigest()
 
 
 def tree(path):
@@ -185,30 +201,67 @@ def test_catalog_end_to_end(spark, tmp_path):
     catalog = Catalog(spark, given)
     first = catalog.sync()
     assert first["counts"]["added"] == 4 and catalog.compile(first)["source_pages"] == 3
-    assert catalog.lint() == [] and catalog.get("docs/aurora.md").first().content.startswith("Project Aurora")
+    assert catalog.lint().count() == 0 and (tmp_path / "home/AGENTS.md").is_file() and [r.relative_path for r in catalog.listed().collect()] == ["docs", "docs/aurora.md", "notes.txt", "route-map.bin"]
+    assert catalog.postings.exceptAll(index.postings(catalog.chunks)).count() == 0 and catalog.stats.exceptAll(index.chunk_stats(catalog.chunks)).count() == 0
+    assert (tmp_path / "home/wiki/index.md").read_text().splitlines()[6:] == [*[f"- [{p}]({text_path(spark, p)}) — {s}" for p, s in (("docs/aurora.md", "extracted, 55 bytes"), ("notes.txt", "extracted, 18 bytes"), ("route-map.bin", "unsupported, 3 bytes"))], "", "## Directories", "", "- `docs/`"]
+    assert catalog.get("docs/aurora.md").first().content.startswith("Project Aurora")
     hit = catalog.search("누가 Aurora 온도보정").first()
     assert hit.relative_path == "docs/aurora.md" and (tmp_path / "home" / hit.wiki_path).is_file()
     (tmp_path / "src/notes.txt").write_text("Changed text entirely")
     os.remove(tmp_path / "src/docs/aurora.md")
     again = Catalog(spark, given)
     second = again.sync(retry_unreadable=True)
-    assert {k: second["counts"][k] for k in ("added", "updated", "removed", "unchanged")} == {"added": 0, "updated": 2, "removed": 1, "unchanged": 1} or second["counts"]["updated"] == 1
+    assert {k: second["counts"][k] for k in ("added", "removed")} == {"added": 0, "removed": 1} and second["counts"]["updated"] + second["counts"]["unchanged"] == 3
+    assert {r.relative_path for r in second["changed"].collect()} - {"docs"} == {"notes.txt"}
+    assert again.postings.exceptAll(index.postings(again.chunks)).count() == 0 == index.postings(again.chunks).exceptAll(again.postings).count()
     assert again.compile(second)["removed_pages"] == 1 and again.search("Aurora").count() == 0 and again.search("Changed").count() == 1
     (tmp_path / "home/wiki/sources/stray.md").write_text("x")
     os.remove(tmp_path / "home/wiki/index.md")
-    assert again.lint() == ["Missing required file: index.md", "Orphan source page: stray.md"]
+    assert [r.message for r in again.lint().collect()] == ["Missing required file: index.md", "Orphan source page: stray.md"]
     manifest = tmp_path / "home/catalog.json"
     manifest.write_text(json.dumps({"snapshot": "x"}))
     with pytest.raises(CatalogError):
         Catalog(spark, given)
 
 
+def text_path(spark, path):
+    return spark.range(1).select(text.page_path(F.lit(path))).first()[0].removeprefix("wiki/")
+
+
+def test_a_lost_root_changes_nothing(spark, tmp_path):
+    given = tree(tmp_path)
+    catalog = Catalog(spark, given)
+    catalog.compile(catalog.sync())
+    kept = catalog.manifest.read_text()
+    os.rename(tmp_path / "src", tmp_path / "away")
+    with pytest.raises(SettingsError):
+        Settings.load(str(tmp_path / ".env"), {})
+    with pytest.raises(CatalogError):
+        Catalog(spark, given).sync()
+    assert catalog.manifest.read_text() == kept and Catalog(spark, given).entries.count() == 4
+    (tmp_path / "src").write_text("no folder")
+    with pytest.raises(SettingsError):
+        Settings.load(str(tmp_path / ".env"), {})
+
+
+def test_what_a_scan_could_not_see_stays(spark):
+    changes = spark.createDataFrame([("a", "removed"), ("a/b", "removed"), ("ab", "removed"), ("c/d/e", "removed"), ("f", "added"), ("a/g", "updated")], "relative_path string, change string")
+    failed = spark.createDataFrame([("a",), ("c/d/e",), (None,)], "relative_path string")
+    got = {r.relative_path: r.change for r in sync.spared(changes, failed).collect()}
+    assert got == {"a": "unchanged", "a/b": "unchanged", "ab": "removed", "c/d/e": "unchanged", "f": "added", "a/g": "updated"}
+
+
 def test_settings_errors_and_merging(tmp_path):
+    (tmp_path / "bad").write_text("SILTSTONE_ROOT=/\nno value here\n")
+    with pytest.raises(SettingsError, match="line 2"):
+        Settings.load(str(tmp_path / "bad"), {})
+    with pytest.raises(SettingsError, match="another folder"):
+        Settings.load(None, {"SILTSTONE_ROOT": str(tmp_path), "SILTSTONE_HOME": str(tmp_path)})
     with pytest.raises(SettingsError):
         Settings.load(None, {})
     with pytest.raises(SettingsError):
         Settings.load(None, {"SILTSTONE_ROOT": "/", "SILTSTONE_CHUNK_BYTES": "0"})
-    s = Settings.load(None, {"SILTSTONE_ROOT": "/x", "SILTSTONE_EXCLUDED_DIRECTORIES": "Build, Extra;more", "SILTSTONE_EXCLUDED_EXTENSIONS": "*.LOG"})
+    s = Settings.load(None, {"SILTSTONE_ROOT": "/", "SILTSTONE_EXCLUDED_DIRECTORIES": "Build, Extra;more", "SILTSTONE_EXCLUDED_EXTENSIONS": "*.LOG"})
     assert s.excluded_directories.count("build") + s.excluded_directories.count("Build") == 1 and s.excluded_directories[-2:] == ("Extra", "more") and ".log" in s.excluded_suffixes
 
 
@@ -217,10 +270,18 @@ def test_commands(spark, tmp_path, capsys):
 
     tree(tmp_path)
     env = ["--env-file", str(tmp_path / ".env")]
-    assert main([*env, "index", "--json"]) == 0 and json.loads(capsys.readouterr().out)["added"] == 4
-    assert main([*env, "query", "Aurora", "--json", "--limit", "1"]) == 0 and len(json.loads(capsys.readouterr().out)["results"]) == 1
-    assert main([*env, "status", "--json"]) == 0 and main([*env, "lint", "--json"]) == 0
-    assert main([*env, "query", "Aurora", "--limit", "0"]) == 2 and main(["--env-file", str(tmp_path / "none"), "status"]) == 2
+    told = lambda *command: (main([*env, *command, "--json"]), json.loads(capsys.readouterr().out))
+    code, indexed = told("index")
+    assert code == 0 and indexed["command"] == "index" and indexed["sync"]["added"] == 4 and indexed["sync"]["changed_path_count"] == 4 and "docs/aurora.md" in indexed["sync"]["changed_path_sample"]
+    assert indexed["compiled"]["source_pages"] == 3 and os.path.isfile(indexed["wiki_index"]) and indexed["sync"]["removed_wiki_path_count"] == 0
+    code, found = told("query", "Aurora", "--limit", "1")
+    assert code == 0 and len(found["results"]) == 1 and os.path.isfile(found["results"][0]["wiki_path"]) and found["results"][0]["source_path"].startswith(str(tmp_path))
+    code, status = told("status")
+    assert code == 0 and (status["files"], status["directories"], status["extraction_status"]) == (3, 1, {"extracted": 2, "unsupported": 1})
+    assert told("lint") == (0, {"command": "lint", "issues": [], "ok": True}) and "Query" in (tmp_path / "home/wiki/log.md").read_text()
+    assert main([*env, "query", "Aurora", "--limit", "0"]) == 2 and main(["--env-file", str(tmp_path / "none"), "status", "--json"]) == 2
+    out = capsys.readouterr()
+    assert out.out == "" and "SILTSTONE_ROOT" in out.err
 
 
 def test_stream_of_scans(spark, tmp_path):
