@@ -211,13 +211,17 @@ def _pair_task(similarity: float):
 
 
 def _block_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of the pairs of (signature, id, n) whose lists are too long for a task: each list is dealt to blocks, and two blocks at a time are compared."""
-    counted = rows.groupBy("signature").agg(F.count("*").alias("_rows"))
-    dealt = rows.join(counted, "signature").withColumn("_blocks", F.ceil(F.col("_rows") / (HOT // 2 or 1)).cast("int")).withColumn("_mine", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    spread = dealt.select("signature", "id", "n", "_mine", other.alias("_other"))
-    cell = F.xxhash64("signature", F.least("_mine", "_other"), F.greatest("_mine", "_other"))
-    sides = spread.select(cell.alias("signature"), "id", "n")
+    """(a, b) of the pairs of (signature, id, n) whose lists are too long for a task: a list's indexed rows and all its rows are dealt to blocks, and a block of either is compared at a time."""
+    side = HOT // 2 or 1
+    blocks = lambda n: F.ceil(n / side).cast("int")
+    indexed = F.col("n") < 0
+    counted = rows.groupBy("signature").agg(blocks(F.count(F.when(indexed, 1))).alias("_few"), blocks(F.count("*")).alias("_many"))
+    dealt = rows.join(counted, "signature")
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    small_side = dealt.where(indexed).select("signature", "id", "n", mine("_few").alias("_i"), each("_many").alias("_j"))
+    large_side = dealt.where("_few > 0").select("signature", "id", F.abs("n").alias("n"), mine("_many").alias("_j"), each("_few").alias("_i"))
+    sides = small_side.unionByName(large_side).select(F.xxhash64("signature", "_i", "_j").alias("signature"), "id", "n")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.empty(0, np.int64) for _ in range(3)]
@@ -281,7 +285,10 @@ def links(df: DataFrame, key: str, text: str, run: int = 5, similarity: float =
     for size in range(1, MOST + 1):
         counted = cut(met(texts, size).where("hot or times >= n" if size == 1 else "true"))
         found.append(counted.where("not hot").select("a", "b"))
-        long = counted.where("hot").select(F.col("a").alias("signature"), F.col("b").alias("id"), "n")
+        lists = counted.where("hot").select(F.col("a").alias("signature"), F.col("b").alias("id"), "n")
+        # what no smaller set shares counts for nothing
+        shared = lists.groupBy("signature").agg(F.min("n").alias("_n")).where("_n < 0").select("signature")
+        long = cut(lists.join(small(cut(shared), 8), "signature", "left_semi"))
         if long.isEmpty():
             break
         # sets so small that similar ones may share no larger combination
