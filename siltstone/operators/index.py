@@ -10,16 +10,26 @@ from siltstone.functions.text import index_tokens
 FIELDS = ("relative_path", "content", "ngrams")
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, entry_id, field, term, pos) of chunks(id, entry_id, relative_path, content, ngrams); null fields have no terms."""
+def tokenized(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, entry_id, fields, n_tokens) of chunks(id, entry_id, relative_path, content, ngrams): the terms of each field in order; null fields have none."""
     fields = F.array(*[F.struct(F.lit(f).alias("field"), index_tokens(F.coalesce(f, F.lit(""))).alias("terms")) for f in FIELDS])
-    each = chunks.select(F.col("id").alias("chunk_id"), "entry_id", F.inline(fields))
+    each = chunks.select(F.col("id").alias("chunk_id"), "entry_id", fields.alias("fields"))
+    return each.withColumn("n_tokens", F.aggregate("fields", F.lit(0), lambda n, f: n + F.size(f["terms"])))
+
+
+def postings_of(tokens: DataFrame) -> DataFrame:
+    """(chunk_id, entry_id, field, term, pos) of tokenized chunks."""
+    each = tokens.select("chunk_id", "entry_id", F.inline("fields"))
     return each.select("chunk_id", "entry_id", "field", F.posexplode("terms").alias("pos", "term")).select("chunk_id", "entry_id", "field", "term", "pos")
 
 
+def postings(chunks: DataFrame) -> DataFrame:
+    return postings_of(tokenized(chunks))
+
+
 def chunk_stats(chunks: DataFrame) -> DataFrame:
     """(chunk_id, n_tokens) over all fields; chunks without a term count too."""
-    return chunks.select(F.col("id").alias("chunk_id"), sum(F.size(index_tokens(F.coalesce(f, F.lit("")))) for f in FIELDS).alias("n_tokens"))
+    return tokenized(chunks).select("chunk_id", "n_tokens")
 
 
 def corpus_stats(stats: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text
-from siltstone.operators.index import chunk_stats, corpus_stats, postings
+from siltstone.operators.index import corpus_stats, postings_of, tokenized
 from siltstone.session import cut, small
 
 # Weights of the fields, constants of the score, statuses that rank last.
@@ -49,11 +49,14 @@ def phrase_hits(asked: DataFrame, posts: DataFrame) -> DataFrame:
     words = asked.select("phrase", F.col("field").alias("_field"), F.size("terms").alias("_n"), F.posexplode("terms").alias("_at", "term")).distinct()
     words = cut(words)
     met = cut(posts.join(small(words.select("term").distinct(), F.octet_length("term") + 32), "term", "left_semi"))
+    # a frequent term would be one task's work in a join by term: what is asked goes to the postings instead
     counted = words.join(met.groupBy("term").agg(F.count("*").alias("_times")), "term", "left")
-    rarest = counted.groupBy("phrase").agg(F.min(F.struct(F.coalesce("_times", F.lit(0)).alias("times"), F.col("_at").alias("at"), "term", "_field", F.col("_n").alias("n"))).alias("_r")).where("_r.times > 0")
-    place = rarest.select("phrase", "_r.term", F.col("_r._field").alias("_field"), F.col("_r.n").alias("_n"), F.col("_r.at").alias("_at")).join(met, "term").where("_field = '' or _field = field")
+    first = counted.groupBy("phrase").agg(F.min(F.struct(F.coalesce("_times", F.lit(0)).alias("times"), F.col("_at").alias("at"), "term", "_field", F.col("_n").alias("n"))).alias("_r")).where("_r.times > 0")
+    rarest = small(cut(first.select("phrase", "_r.term", F.col("_r._field").alias("_field"), F.col("_r.n").alias("_n"), F.col("_r.at").alias("_at"))), F.octet_length("term") + 64)
+    place = met.join(rarest, "term").where("_field = '' or _field = field")
     starts = place.select("phrase", "_n", "chunk_id", "entry_id", "field", (F.col("pos") - F.col("_at")).alias("_start"))
-    longer = starts.where("_n > 1").join(words.select("phrase", F.col("_at").alias("_j"), "term"), "phrase").withColumn("pos", F.col("_start") + F.col("_j"))
+    others = small(words.where("_n > 1").select("phrase", F.col("_at").alias("_j"), "term"), F.octet_length("term") + 48)
+    longer = starts.where("_n > 1").join(others, "phrase").withColumn("pos", F.col("_start") + F.col("_j"))
     whole = longer.join(met, ["term", "chunk_id", "entry_id", "field", "pos"]).groupBy("phrase", "_n", "chunk_id", "entry_id", "field", "_start").agg(F.count("*").alias("_met")).where("_met = _n")
     columns = ["phrase", "chunk_id", "entry_id", "field"]
     weight = F.coalesce(*[F.when(F.col("field") == f, w) for f, w in WEIGHTS.items()])
@@ -73,17 +76,20 @@ def phrase_scores(asked: DataFrame, posts: DataFrame, stats: DataFrame) -> DataF
     """(phrase, chunk_id, entry_id, weighted, plain): scores of the asked phrases in chunks with and without field weights."""
     total = corpus_stats(stats).first()
     hits = cut(phrase_hits(asked, posts))
-    held = hits.groupBy("phrase").agg(F.count("*").alias("_df"))
-    scored = hits.join(held, "phrase").join(stats.select("chunk_id", "n_tokens"), "chunk_id")
+    held = cut(hits.groupBy("phrase").agg(F.count("*").alias("_df")))
+    scored = hits.join(small(held, 32), "phrase").join(stats.select("chunk_id", "n_tokens"), "chunk_id")
     rarity, average = idf(F.lit(total.n_chunks), F.col("_df")), F.lit(total.avg_tokens or 1.0)
     return scored.select("phrase", "chunk_id", "entry_id", *[bm25(F.col(c), rarity, F.col("n_tokens"), average).alias(c) for c in ("weighted", "plain")])
 
 
 def word_scores(asked: DataFrame, chunks: DataFrame, posts: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """(word, chunk_id, chunk_index, entry_id, weighted, plain) of the asked words that a chunk satisfies; only satisfied branches score. A word counts once however many questions ask for it."""
-    phrases = asked.select("word", "branch", "branch_size", "_copy", "phrase", "field", "terms").distinct()
-    scores = phrase_scores(phrases.select("phrase", "field", "terms").where(F.size("terms") > 0).distinct(), postings(chunks) if posts is None else posts, chunk_stats(chunks) if stats is None else stats)
-    branches = phrases.drop("field", "terms").join(scores, "phrase").groupBy("word", "branch", "branch_size", "chunk_id", "entry_id").agg(F.count("*").alias("_met"), F.sum("weighted").alias("weighted"), F.sum("plain").alias("plain"))
+    if posts is None or stats is None:
+        tokens = cut(tokenized(chunks))
+        posts, stats = postings_of(tokens), cut(tokens.select("chunk_id", "n_tokens"))
+    phrases = cut(asked.select("word", "branch", "branch_size", "_copy", "phrase", "field", "terms").distinct())
+    scores = phrase_scores(phrases.select("phrase", "field", "terms").where(F.size("terms") > 0).distinct(), posts, stats)
+    branches = scores.join(small(phrases.drop("field", "terms"), 64), "phrase").groupBy("word", "branch", "branch_size", "chunk_id", "entry_id").agg(F.count("*").alias("_met"), F.sum("weighted").alias("weighted"), F.sum("plain").alias("plain"))
     words = branches.where("_met = branch_size").groupBy("word", "chunk_id", "entry_id").agg(F.sum("weighted").alias("weighted"), F.sum("plain").alias("plain"))
     return words.join(chunks.select(F.col("id").alias("chunk_id"), "chunk_index"), "chunk_id")
 
@@ -152,7 +158,7 @@ def ranked(found: DataFrame, entries: DataFrame, limit: int) -> DataFrame:
 def prepared(queries: DataFrame, chunks: DataFrame, posts: DataFrame | None = None, stats: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The clauses of questions with all phrases, the same with one row a word, and the scores of the words; each written once.
 
-    posts and stats are those of chunks where they are stored; without them chunks are read term by term.
+    posts and stats are those of chunks where they are stored; without them chunks are cut into terms once.
     """
     phrases = cut(clauses(queries))
     asked = cut(phrases.select("query_id", "n_clauses", "clause", "word", "token").distinct())
