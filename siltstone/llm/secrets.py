@@ -75,7 +75,7 @@ _WORDISH = re.compile(r"^[A-Za-z]?[a-z]+$|^[A-Z]+$|^[A-Za-z_]+(?:\.[A-Za-z_]+)+$
 
 def structured(value: str) -> bool:
     """Whether the value looks like something issued or made up to be secret: several kinds of characters, no plain word, path or number."""
-    if PLACEHOLDER.match(value) or _WORDISH.match(value):
+    if PLACEHOLDER.match(value) or _WORDISH.match(value) or "-----" in value:  # a marker's dashes belong to a key, not to a literal
         return False
     kinds = sum(bool(re.search(k, value)) for k in ("[a-z]", "[A-Z]", r"\d", r"[^\w\s]"))
     return bool(_PHRASE.match(value)) or (len(value) >= 6 and (kinds >= 2 and (bool(re.search(r"\d", value)) or kinds >= 2 and len(value) >= 8)))
@@ -87,13 +87,15 @@ def entropy(value: str) -> float:
 
 
 def issued_body(value: str) -> bool:
-    """Whether the long part of a prefixed value is random: characters change between kinds again and again, no words and no hexadecimal sum."""
+    """Whether the long part of a prefixed value is random: characters change between kinds again and again, no words and no hexadecimal sum; capitals alone hold few vowels."""
     body = re.split(r"[_.-]", value)[-1]
     if len(body) < 16 or re.fullmatch(r"[0-9a-fA-F]+|[a-z0-9]+", body):
         return False
+    if re.fullmatch(r"[A-Z0-9]+", body):
+        return bool(re.search(r"\d", body)) or sum(c in "AEIOU" for c in body) < 0.3 * len(body)
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" for c in body]
     changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
-    return changes * 3 >= len(body) and "d" in kinds and entropy(body) >= 3.0
+    return changes * 3 >= len(body) and entropy(body) >= 3.0 if "d" in kinds else changes * 2.8 >= len(body) and entropy(body) >= 3.9
 
 
 def literals(line: str) -> list[tuple[str, str]]:
