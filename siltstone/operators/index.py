@@ -19,7 +19,8 @@ def tokenized(chunks: DataFrame) -> DataFrame:
 
 def postings_of(tokens: DataFrame) -> DataFrame:
     """(chunk_id, entry_id, field, term, pos) of tokenized chunks."""
-    each = tokens.select("chunk_id", "entry_id", F.inline("fields"))
+    # there are always fields; the plain inline would filter on their number first and cut the text into terms twice for it
+    each = tokens.select("chunk_id", "entry_id", F.inline_outer("fields"))
     return each.select("chunk_id", "entry_id", "field", F.posexplode("terms").alias("pos", "term")).select("chunk_id", "entry_id", "field", "term", "pos")
 
 
