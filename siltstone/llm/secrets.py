@@ -3,7 +3,7 @@
 Method: the literals of assignments, strings and credential places are indexed corpus-wide; values that many unrelated owners
 share are placeholders and suppressed; rare values of a credential's structure are confirmed. Then every text is scanned again
 for all confirmed secrets by an automaton: one over all of them while they are few enough to be sent to every task, beyond that
-one a batch over those whose longest word a text of the batch holds.
+one a batch over those whose last words a text of the batch holds.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ from siltstone.session import cut, small
 MAX_OWNERS, MAX_SHARE = 12, 1e-4
 #: Characters of the secrets of one automaton at most.
 AUTOMATON = 1 << 21
+#: Words of a secret by which it meets texts, at most; bits of the map of these keys that every task has; the factor that joins the hashes of neighbours.
+ANCHOR, MARKS, MIX = 3, 1 << 27, np.uint64(0x9E3779B97F4A7C15)
 #: Kinds of literals that are secrets however many owners share them.
 SURE = ("key", "issued", "random")
 #: A plain word: it leaves strings, YAML, JSON, URLs and shell lines what they were.
@@ -128,10 +131,48 @@ def _inside(value: str, found: dict[str, str]) -> bool:
     return any(value != x and (value in x or x in value) for x in found)
 
 
-def anchor(value: Column) -> Column:
-    """The longest run of word characters of a secret: no word character goes on at the ends of an occurrence, so a text that holds the secret has the run as a whole."""
-    runs = F.regexp_extract_all(value, F.lit(r"[A-Za-z0-9_]+"), F.lit(0))
-    return F.element_at(F.array_sort(runs, lambda a, b: F.length(b) - F.length(a)), 1)
+def word_hashes(text: Column) -> Column:
+    """Hashes of the runs of word characters of text, in order."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_]+"), F.lit(0)), lambda w: F.xxhash64(w))
+
+
+def _by_words(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of about a million words, or one text."""
+    for batch in batches:
+        ends = np.cumsum(batch.column(column).value_lengths().to_numpy()) >> 20
+        starts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(batch)]
+        yield from (batch.slice(x, y - x) for x, y in zip(starts, starts[1:]) if y > x)
+
+
+def _runs(words: pa.Array, longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length up to longest, (row, key) of all runs of so many neighbouring words in each list of word hashes, in order."""
+    hashes, counts = words.flatten().to_numpy().view(np.uint64), words.value_lengths().fill_null(0).to_numpy()
+    rows, keys, out = np.repeat(np.arange(len(counts)), counts), hashes, []
+    for n in range(1, longest + 1):
+        if n > 1:
+            keys = keys[:-1] * MIX + hashes[n - 1 :]
+        whole = rows[: len(keys)] == rows[n - 1 :]
+        out.append((rows[: len(keys)][whole], keys[whole].view(np.int64)))
+    return out
+
+
+def _anchor_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts, anchors = batch.column(1).value_lengths().to_numpy(), np.zeros(len(batch), np.int64)
+        for n, (rows, keys) in enumerate(_runs(batch.column(1), ANCHOR), 1):
+            last = np.append(rows[1:] != rows[:-1], True)[: len(rows)]
+            mine = last & ((counts[rows] == n) | (n == ANCHOR))
+            anchors[rows[mine]] = keys[mine]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(anchors)], ["value", "anchor"])
+
+
+def anchored(secrets: DataFrame) -> DataFrame:
+    """(value, anchor) of secrets(value): the key of its last words, ANCHOR at most.
+
+    No word character goes on at the ends of an occurrence, so a text that holds the secret has these words whole and side by
+    side. One word alone, such as the longest of a phrase, would be met by most texts.
+    """
+    return secrets.select("value", word_hashes(F.col("value")).alias("words")).mapInArrow(_anchor_task, "value string, anchor bigint")
 
 
 def _literal_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,30 +272,61 @@ def _scan_all(df: DataFrame, secrets: list[str]) -> DataFrame:
     return df.select("source_table", "row_id", "text").mapInArrow(task, FOUND)
 
 
+def _marked(anchors: DataFrame) -> np.ndarray:
+    """A bitmap of MARKS bits in which each of anchors(anchor) has two; at most MARKS / 64 numbers pass the driver."""
+    bits = anchors.select(F.explode(F.array(F.col("anchor").bitwiseAND(MARKS - 1), F.shiftrightunsigned("anchor", 32).bitwiseAND(MARKS - 1))).alias("_bit"))
+    words = bits.groupBy(F.shiftright("_bit", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(_bit & 63 as int)))").alias("bits")).toArrow()
+    marks = np.zeros(MARKS // 64, np.int64)
+    marks[words.column("at").to_numpy()] = words.column("bits").to_numpy()
+    return marks.view(np.uint64)
+
+
 def _scan_held(df: DataFrame, secrets: DataFrame) -> DataFrame:
-    """Every text that holds the longest word of a secret, by an automaton over the secrets of its batch."""
+    """Every text that holds the last words of a secret, by an automaton over the secrets of its batch."""
+    known = cut(anchored(secrets))
+    sent = df.sparkSession.sparkContext.broadcast(_marked(known))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = sent.value
+        has = lambda at: marks[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)
+        for batch in _by_words(batches, 3):
+            met = []
+            for rows, keys in _runs(batch.column(3), ANCHOR):
+                k = keys.view(np.uint64)
+                hit = (has(k & np.uint64(MARKS - 1)) & has(k >> np.uint64(32) & np.uint64(MARKS - 1))).astype(bool)
+                met.append(np.stack([rows[hit], keys[hit]]))
+            pairs = np.unique(np.concatenate(met, axis=1), axis=1)
+            texts, counts = np.unique(pairs[0], return_counts=True)
+            kept = batch.take(pa.array(texts))
+            anchors = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(pairs[1]))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(2), anchors], ["source_table", "row_id", "text", "anchors"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if values := {v for held in batch.column(3).to_pylist() for v in held}:
                 yield _found_task(batch, _automaton(sorted(values)))
 
-    # a text's words and a secret's longest one meet as hashes; a wrong meeting only scans for one secret more
-    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_]+"), F.lit(0)), lambda w: F.xxhash64(w)))
-    held = df.select("source_table", "row_id", F.explode(words).alias("anchor"))
-    pairs = held.join(secrets.select("value", F.xxhash64(anchor(F.col("value"))).alias("anchor")), "anchor")
+    # only texts and words that the bitmap lets through are written and shuffled; a wrong meeting only scans for one secret more
+    words = df.select("source_table", "row_id", "text", word_hashes(F.col("text")).alias("words"))
+    maybe = cut(words.mapInArrow(marked, "source_table string, row_id bigint, text string, anchors array<bigint>"))
+    pairs = maybe.select("source_table", "row_id", F.explode("anchors").alias("anchor")).join(known, "anchor")
     per_text = cut(pairs.groupBy("source_table", "row_id").agg(F.collect_set("value").alias("secrets")))
-    return df.join(_small_lists(per_text), ["source_table", "row_id"]).select("source_table", "row_id", "text", "secrets").mapInArrow(task, FOUND)
+    return maybe.join(_small_lists(per_text), ["source_table", "row_id"]).select("source_table", "row_id", "text", "secrets").mapInArrow(task, FOUND)
 
 
 def _small_lists(df: DataFrame) -> DataFrame:
     return small(df, F.octet_length(F.array_join("secrets", "")) + 32 * F.size("secrets") + 64)
 
 
-#: Secrets whose longest word is shorter than this would meet most texts by it: they are scanned for in every text, AUTOMATON characters of them at a time.
+#: Secrets whose last words have fewer characters than this would meet most texts by them: they are scanned for in every text, AUTOMATON characters of them at a time.
 SHORT = 4
 
 
+def _is_short(value: Column) -> Column:
+    words = F.regexp_extract_all(value, F.lit(r"[A-Za-z0-9_]+"), F.lit(0))
+    return F.length(F.array_join(F.slice(words, F.greatest(F.size(words) - ANCHOR + 1, F.lit(1)), ANCHOR), "")) < SHORT
+
+
 def _with_wholes(df: DataFrame) -> DataFrame:
     """df with whole and piece: a text without them, or with null, is a file of its own."""
     if "whole" not in df.columns:
@@ -279,9 +351,9 @@ def found_secrets(df: DataFrame) -> DataFrame:
     if loose.agg(F.coalesce(F.sum(F.length("value")), F.lit(0))).first()[0] <= AUTOMATON:
         again = _scan_all(df, [r.value for r in loose.collect()])
     else:
-        short = loose.where(F.length(anchor(F.col("value"))) < SHORT)
+        short = loose.where(_is_short(F.col("value")))
         blocks = -(-short.agg(F.coalesce(F.sum(F.length("value")), F.lit(0))).first()[0] // AUTOMATON)
-        again = _scan_held(df, loose.where(F.length(anchor(F.col("value"))) >= SHORT))
+        again = _scan_held(df, loose.where(~_is_short(F.col("value"))))
         for b in range(blocks):
             again = again.unionByName(_scan_all(df, [r.value for r in short.where(F.pmod(F.xxhash64("value"), F.lit(blocks)) == b).collect()]))
     return placed.unionByName(again).distinct()

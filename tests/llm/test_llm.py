@@ -220,6 +220,17 @@ def test_issued_formats_anywhere_and_rescans(spark, monkeypatch, most):
     assert got == set(enumerate(formats)) | {(20, "nvk9XyZ77abC"), (21, "nvk9XyZ77abC"), (23, "a1-b2!c3"), (24, "a1-b2!c3")}
 
 
+def test_texts_that_share_one_word_with_a_phrase_are_not_scanned_for_it(spark, monkeypatch):
+    written, real = [], secrets.cut
+    monkeypatch.setattr(secrets, "AUTOMATON", 40)
+    monkeypatch.setattr(secrets, "cut", lambda df: written.append(real(df)) or written[-1])
+    rows = [(i, f"password = amber-greenhouse-{i:02d}\n") for i in range(30)] + [(100 + i, f"greenhouse {i:02d} of amber") for i in range(60)] + [(200, "it was amber-greenhouse-07"), (201, "word"), (202, "- !"), (203, "۱۲۳۴۵۶!!"), (204, "pwd: '۱۲۳۴۵۶!!'")]
+    got = {(r.row_id, r.value) for r in secrets.found_secrets(sourced(spark, rows)).collect()}
+    assert got == {(i, f"amber-greenhouse-{i:02d}") for i in range(30)} | {(200, "amber-greenhouse-07"), (203, "۱۲۳۴۵۶!!"), (204, "۱۲۳۴۵۶!!")}
+    lists = [df for df in written if "secrets" in df.columns]
+    assert [df.count() for df in lists] == [31]
+
+
 def test_issued_bodies():
     for value in ("zeta_9fKq2LmX8vRt4WzYb6NcHd1P", "hx.at.UXPorPxwKlfKEXdWzuBNixTjxSJyaTWrvoue", "QRLSWSDGXDCQIPEMQOBH", "QRLSWSDGXDC1IPEMQOBH"):
         assert secrets.issued_body(value)
