@@ -2,8 +2,10 @@
 
 import hashlib
 import io
+import itertools
 import json
 import os
+import random
 import zipfile
 
 import pytest
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 from siltstone.catalog import Catalog, CatalogError
 from siltstone.functions import text
 from siltstone.operators import chunks, index, snapshots, sync
+from siltstone.plans import groups
+from siltstone.plans import search as search_plans
 from siltstone.plans.search import search
 from siltstone.sources import extract, scan
 from siltstone.sources.settings import Settings, SettingsError
@@ -87,6 +91,49 @@ def test_null_questions_and_empty_tables(spark):
     assert search(asked, parts.limit(0), entries).count() == 0
 
 
+def group_case(spark, monkeypatch):
+    """Dealt scores and questions, their rows {(word, chunk): (entry, index, weighted, plain)}, and the words of each question."""
+    for name, most in (("MOST_ROWS", 40), ("LEAST_ROWS", 10), ("BLOCK", 5)):
+        monkeypatch.setattr(groups, name, most)
+    r, rows = random.Random(3), {}
+    for entry in range(14):
+        for index in range(r.randint(1, 4)):
+            # ids against the order of the chunks, few different scores: ties are settled by the place in the file
+            rows |= {(w, 1000 * (9 - index) + entry): (entry, index, r.choice([1.0, 2.0, 2.5]), r.choice([1.0, 1.5])) for w in range(9) if r.random() < 0.3}
+    questions = {q: r.sample([*range(9), 50, 51, 52], r.randint(1, 8)) for q in range(40)} | {40: [50, 51], 41: [0], 42: [0], 43: [50, 3, 51]}
+    rows[60, 1] = (1, 8, 1.0, 1.0)
+    rows[61, 2] = (2, 8, 1.0, 1.0)
+    questions[44] = [60, 61]  # never in one file: any word will do
+    scores = spark.createDataFrame([(w, c, i, e, x, p) for (w, c), (e, i, x, p) in rows.items()], "word bigint, chunk_id bigint, chunk_index int, entry_id bigint, weighted double, plain double")
+    asked = spark.createDataFrame([(q, len(ws), k, w, str(w)) for q, ws in questions.items() for k, w in enumerate(ws)], "query_id bigint, n_clauses int, clause int, word bigint, token string")
+    return asked, groups.dealt(scores), rows, questions
+
+
+def group_of(words, rows):
+    for size in range(len(words), 0 if len(words) == 1 else 1, -1):
+        for g in itertools.combinations(range(len(words)), size):
+            if set.intersection(*[{e for (w, _), (e, *_) in rows.items() if w == words[k]} for k in g]):
+                return g
+
+
+def test_chosen_groups_and_same_chunk_equal_brute_force(spark, monkeypatch):
+    asked, scores, rows, questions = group_case(spark, monkeypatch)
+    assert scores.rdd.getNumPartitions() > 2
+    chosen = search_plans.chosen_groups(asked, scores)
+    want = {q: g for q, ws in questions.items() if (g := group_of(ws, rows))}
+    assert {r.query_id: (r.mask, r["size"], r["first"]) for r in chosen.collect()} == {q: (sum(1 << k for k in g), len(g), g[0]) for q, g in want.items()}
+    best = {}
+    for q, ws in questions.items():
+        g = [ws[k] for k in want.get(q, range(len(ws)))]
+        for c in {c for _, c in rows}:
+            held = [rows[w, c] for w in g if (w, c) in rows]
+            if held and (q not in want or len(held) == len(g)):
+                key = (-sum(h[2] for h in held), held[0][1], c)
+                best[q, held[0][0]] = min(best.get((q, held[0][0]), key), key)
+    got = {(r.query_id, r.entry_id): (-r.score, r.chunk_id) for r in search_plans.same_chunk(asked, scores, chosen).collect()}
+    assert got == {k: (s, c) for k, (s, _, c) in best.items()} and len(got) > 60
+
+
 ENTRY = "id bigint, relative_path string, kind string, size bigint, mtime_ns bigint, status string, extractor string, error string, sha256 string"
 
 
