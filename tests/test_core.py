@@ -134,6 +134,19 @@ def test_chosen_groups_and_same_chunk_equal_brute_force(spark, monkeypatch):
     assert got == {k: (s, c) for k, (s, _, c) in best.items()} and len(got) > 60
 
 
+def test_across_chunks_equals_brute_force(spark, monkeypatch):
+    asked, scores, rows, questions = group_case(spark, monkeypatch)
+    want = {}
+    for q, ws in questions.items():
+        g = [ws[k] for k in group_of(ws, rows) or ()]
+        for e in range(14):
+            held = [[(-p, i, c) for (w, c), (entry, i, _, p) in rows.items() if w == word and entry == e] for word in g]
+            if len(g) > 1 and all(held):
+                want[q, e] = (sum(min(h)[0] for h in held), min(held[0])[2])
+    got = {(r.query_id, r.entry_id): (-r.score, r.chunk_id) for r in search_plans.across_chunks(asked, scores, search_plans.chosen_groups(asked, scores)).collect()}
+    assert got == want and len(got) > 30
+
+
 ENTRY = "id bigint, relative_path string, kind string, size bigint, mtime_ns bigint, status string, extractor string, error string, sha256 string"
 
 
