@@ -147,6 +147,20 @@ def test_across_chunks_equals_brute_force(spark, monkeypatch):
     assert got == want and len(got) > 30
 
 
+def test_files_without_an_entry_take_no_place(spark):
+    parts, entries = catalog_of(spark, [("a.md", "red blue", "extracted"), ("far.md", "red xxxxxxxx blue", "extracted"), ("other.md", "green", "extracted")], 16)
+    asked = spark.createDataFrame([(1, "red blue")], "query_id bigint, query_text string")
+    assert [r.relative_path for r in search(asked, parts, entries.where("relative_path <> 'a.md'"), 1).collect()] == ["far.md"]
+
+
+def test_the_first_files_are_the_first_of_all_with_few_demoted_and_equal_scores(spark, monkeypatch):
+    monkeypatch.setattr(groups, "LEAST_ROWS", 5)
+    files = [(f"{i:02d}.md", "red blue " + "x " * (i // 10), "error" if i < 10 else "extracted") for i in range(40)] + [(f"far{i}.md", "red xxxxxxxx yyyyyyyy blue", "extracted") for i in range(3)]
+    order = [f"{i:02d}.md" for i in [*range(10, 40), *range(10)]] + [f"far{i}.md" for i in range(3)]
+    for limit in (1, 12, 33, 42):
+        assert found(spark, files, "red blue", limit, 20) == order[:limit]
+
+
 ENTRY = "id bigint, relative_path string, kind string, size bigint, mtime_ns bigint, status string, extractor string, error string, sha256 string"
 
 
