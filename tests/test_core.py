@@ -161,6 +161,28 @@ def test_the_first_files_are_the_first_of_all_with_few_demoted_and_equal_scores(
         assert found(spark, files, "red blue", limit, 20) == order[:limit]
 
 
+def test_scores_straight_from_chunks_equal_those_of_postings(spark, monkeypatch):
+    monkeypatch.setattr(groups, "LEAST_ROWS", 5)
+    texts = ["red-blue red blue Red", "blue red", "온도보정 알고리즘 온도 보정", "온도보정알고리즘 red", "", None, "rėd blue red-blue-green", "green blue", "알고리즘 온도온도"]
+    parts, _ = catalog_of(spark, [(f"blue/red-{i}.md", t, "extracted") for i, t in enumerate(texts * 3)], 16)
+    asked = search_plans.clauses(spark.createDataFrame(enumerate(["red-blue green", "blue red", "온도보정알고리즘 Red", "온도온도온도", "nowhere", "red-blue-green RED"]), "query_id bigint, query_text string"))
+    rows = lambda df: sorted((r.word, r.chunk_id, r.chunk_index, r.entry_id, round(r.weighted, 9), round(r.plain, 9)) for r in groups.flat(df).collect())
+    got = search_plans.chunk_scores(asked, parts.union(parts))  # repeated rows count once
+    assert got.rdd.getNumPartitions() > 2 and got.count() <= parts.count()
+    assert rows(got) == rows(search_plans.word_scores(asked, parts)) and len(rows(got)) > 80
+
+
+def test_search_counts_repeated_chunks_once_with_and_without_postings(spark, monkeypatch):
+    files = [(f"{i}.md", "red blue " + "x " * i, "error" if i % 3 == 0 else "extracted") for i in range(12)] + [("far.md", "red xxxxxxxx yyyyyyyy blue", "extracted")]
+    parts, entries = catalog_of(spark, files, 20)
+    asked = spark.createDataFrame([(1, "red blue"), (2, "red blue"), (3, "yyyyyyyy")], "query_id bigint, query_text string")
+    answers = lambda chunk: sorted((r.query_id, r["rank"], r.stage, r.relative_path, r.excerpt, round(r.score, 9)) for r in search(asked, chunk, entries, 13).collect())
+    want = answers(parts)
+    assert len(want) == 27 and answers(parts.union(parts)) == want
+    monkeypatch.setattr(search_plans, "MOST_TERMS", 0)
+    assert answers(parts.union(parts)) == want
+
+
 ENTRY = "id bigint, relative_path string, kind string, size bigint, mtime_ns bigint, status string, extractor string, error string, sha256 string"
 
 
