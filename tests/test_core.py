@@ -8,6 +8,7 @@ import os
 import random
 import zipfile
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from siltstone.catalog import Catalog, CatalogError
 from siltstone.functions import text
 from siltstone.operators import chunks, index, snapshots, sync
-from siltstone.plans import groups
+from siltstone.plans import groups, terms
 from siltstone.plans import search as search_plans
 from siltstone.plans.search import search
 from siltstone.sources import extract, scan
@@ -172,6 +173,61 @@ def test_scores_straight_from_chunks_equal_those_of_postings(spark, monkeypatch)
     assert rows(got) == rows(search_plans.word_scores(asked, parts)) and len(rows(got)) > 80
 
 
+def test_asked_terms_of_texts_are_those_of_the_index(spark, monkeypatch):
+    r = random.Random(1)
+    signs = [*"abZİßΣςéǢǰñÅﬀ온도한가1² -_.\n\r\x00", "e\u0301", "\u0301", "\u036f", "\u0370", "\ue000", "\ud7ff", "\U0001d400", "\U0001f600", "\U000f0000"]
+    texts = ["", "\u0301", "a\u0301b", *("".join(r.choice(signs) for _ in range(r.randint(0, 40))) for _ in range(600))]
+    rows = spark.createDataFrame(enumerate(texts), "i int, x string").select("i", F.lower("x").alias("small"), text.index_tokens(F.col("x")).alias("terms")).orderBy("i").collect()
+    asked = [*sorted({t for row in rows for t in row.terms})[::3], "nowhere"]
+    for most in (terms.SLICE, 50):
+        monkeypatch.setattr(terms, "SLICE", most)
+        counts, got = [], []
+        for first, n, at, pos, code in terms.Terms(asked, terms.letters(spark)).standing([row.small for row in rows]):
+            assert first == len(counts)
+            counts += n.tolist()
+            got += zip((at + first).tolist(), pos.tolist(), [asked[c] for c in code.tolist()])
+        assert counts == [len(row.terms) for row in rows]
+        assert got == [(row.i, k, t) for row in rows for k, t in enumerate(row.terms) if t in set(asked)] and len(got) > 100
+
+
+@pytest.mark.parametrize("cells", [1, 40, 500_000])
+def test_many_lists_at_once_equal_each_by_itself(monkeypatch, cells):
+    monkeypatch.setattr(groups, "CELLS", cells)
+    r = random.Random(5)
+    chunks_of = [(entry, k, 1000 * (9 - k) + entry) for entry in range(150) for k in range(r.randint(1, 3))]
+    r.shuffle(chunks_of)
+    held = {c: {w: (r.choice([1.0, 2.0, 2.5]), r.choice([1.0, 1.5])) for w in range(12) if r.random() < 0.3} for c in chunks_of}
+    rows = [{"entry_id": e, "chunk_index": k, "chunk_id": c, "demoted": e % 3 == 0, "word": list(ws), "weighted": [x for x, _ in ws.values()], "plain": [x for _, x in ws.values()]} for (e, k, c), ws in held.items() if ws]
+    kinds = {"entry_id": pa.int64(), "chunk_index": pa.int32(), "chunk_id": pa.int64(), "demoted": pa.int8(), "word": pa.list_(pa.int64()), "weighted": pa.list_(pa.float64()), "plain": pa.list_(pa.float64())}
+    part = groups.Part(pa.Table.from_pylist([row | {"demoted": int(row["demoted"])} for row in rows], pa.schema(list(kinds.items()))))
+    lists = [r.sample([*range(12), 77], r.randint(1, 8)) for _ in range(300)]
+    whole = [r.random() < 0.8 for _ in lists]
+
+    def answers(words, all_of_them, limit):
+        same, across = {}, {}
+        for (e, k, c), ws in held.items():
+            own = [ws[w][0] for w in words if w in ws]
+            if own and (not all_of_them or len(own) == len(words)):
+                same[e] = min(same.get(e, (0.0, 9)), (-sum(own), k))
+        for e in {e for e, _, _ in held} - set(same) if all_of_them and len(words) > 1 else ():
+            best = [[(-ws[w][1], k) for (f, k, _), ws in held.items() if f == e and w in ws] for w in words]
+            if all(best):
+                across[e] = (sum(min(b)[0] for b in best), min(best[0])[1])
+        every = sorted((stage, int(e % 3 == 0), s, k, e) for stage, found in enumerate((same, across)) for e, (s, k) in found.items())
+        return {x for x in every if limit and x[:3] <= every[min(limit, len(every)) - 1][:3]}
+
+    entry, chunk = (part.ids.column(c).to_pylist() for c in ("entry_id", "chunk_id"))
+    for limit in (0, 1, 10, 1000):
+        got = [set() for _ in lists]
+        for own, of, at, score, stage in part.best_of_both(lists, whole, limit):
+            for k, row, s, g in zip(own[of].tolist(), part.row[at].tolist(), score.tolist(), stage.tolist()):
+                got[k].add((g, int(entry[row] % 3 == 0), -s, 9 - chunk[row] // 1000, entry[row]))
+        assert got == [answers(words, w, limit) for words, w in zip(lists, whole)]
+    files = [[set().union(*[ws for (f, _, _), ws in held.items() if f == e])] for e in range(150)]
+    first = [next((k for k, g in enumerate(groups.tried(len(words))) if any({words[i] for i in g} <= f for (f,) in files)), -1) for words in lists]
+    assert part.first_groups(lists).tolist() == first
+
+
 def test_search_counts_repeated_chunks_once_with_and_without_postings(spark, monkeypatch):
     files = [(f"{i}.md", "red blue " + "x " * i, "error" if i % 3 == 0 else "extracted") for i in range(12)] + [("far.md", "red xxxxxxxx yyyyyyyy blue", "extracted")]
     parts, entries = catalog_of(spark, files, 20)
