@@ -190,6 +190,20 @@ def test_asked_terms_of_texts_are_those_of_the_index(spark, monkeypatch):
         assert got == [(row.i, k, t) for row in rows for k, t in enumerate(row.terms) if t in set(asked)] and len(got) > 100
 
 
+def test_old_chunks_have_their_pairs_and_count_once_with_filled_ones(spark, monkeypatch):
+    r = random.Random(2)
+    texts = ["", "온", "온도", *("".join(r.choice("온도보정漢字ㄱ가aB \nİ") for _ in range(r.randint(0, 30))) for _ in range(60))]
+    old = chunks.chunked(spark.createDataFrame(enumerate(texts), "id bigint, text string"), "id", "text", 32).select(F.expr("entry_id * 100 + chunk_index").alias("id"), "entry_id", "chunk_index", F.when(F.col("chunk_index") == 0, F.concat(F.lit("한글보정/Ab"), "entry_id")).alias("relative_path"), "content", F.lit(None).cast("string").alias("ngrams"))
+    filled = chunks.with_ngrams(old)
+    rows = filled.orderBy("id").collect()
+    assert terms.pairs([row.content.lower() for row in rows], [(row.relative_path or "").lower() for row in rows]) == [row.ngrams for row in rows] and terms.pairs([], []) == []
+    asked = search_plans.clauses(spark.createDataFrame([(1, "온도보정"), (2, "漢字 가"), (3, "한글보정 정온")], "query_id bigint, query_text string"))
+    scores = lambda df: sorted((x.word, x.chunk_id, round(x.weighted, 9), round(x.plain, 9)) for x in groups.flat(df).collect())
+    want = scores(search_plans.word_scores(asked, filled))
+    assert scores(search_plans.chunk_scores(asked, old)) == want and scores(search_plans.chunk_scores(asked, old.union(filled))) == want
+    assert scores(search_plans.word_scores(asked, old)) == want and len(want) > 60
+
+
 @pytest.mark.parametrize("cells", [1, 40, 500_000])
 def test_many_lists_at_once_equal_each_by_itself(monkeypatch, cells):
     monkeypatch.setattr(groups, "CELLS", cells)
@@ -221,7 +235,7 @@ def test_many_lists_at_once_equal_each_by_itself(monkeypatch, cells):
         got = [set() for _ in lists]
         for own, of, at, score, stage in part.best_of_both(lists, whole, limit):
             for k, row, s, g in zip(own[of].tolist(), part.row[at].tolist(), score.tolist(), stage.tolist()):
-                got[k].add((g, int(entry[row] % 3 == 0), -s, 9 - chunk[row] // 1000, entry[row]))
+                got[k].add((g // 2, g % 2, -s, 9 - chunk[row] // 1000, entry[row]))
         assert got == [answers(words, w, limit) for words, w in zip(lists, whole)]
     files = [[set().union(*[ws for (f, _, _), ws in held.items() if f == e])] for e in range(150)]
     first = [next((k for k, g in enumerate(groups.tried(len(words))) if any({words[i] for i in g} <= f for (f,) in files)), -1) for words in lists]
@@ -235,6 +249,8 @@ def test_search_counts_repeated_chunks_once_with_and_without_postings(spark, mon
     answers = lambda chunk: sorted((r.query_id, r["rank"], r.stage, r.relative_path, r.excerpt, round(r.score, 9)) for r in search(asked, chunk, entries, 13).collect())
     want = answers(parts)
     assert len(want) == 27 and answers(parts.union(parts)) == want
+    files = sorted((r.query_id, r["rank"], r.stage, r.relative_path, round(r.score, 9)) for r in search_plans.ranked_files(asked, parts.union(parts), entries, 13).collect())
+    assert files == [(*x[:4], x[5]) for x in want]
     monkeypatch.setattr(search_plans, "MOST_TERMS", 0)
     assert answers(parts.union(parts)) == want
 
