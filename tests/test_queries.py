@@ -34,7 +34,7 @@ def test_query_equals_sql(spark, small_dir, duck, name):
     pd.testing.assert_frame_equal(normal(got), normal(want), check_dtype=False)
 
 
-#: Few files and questions, most with numbers that aren't multiples of anything.
+#: Few files and questions, most with numbers that a cut by remainder would leave out.
 FEW = {
     "search_hits": "select * from (values (1, 'red blue'), (1, 'red blue'), (7, 'green'), (8, 'red green'), (19, 'blue red'), (20, 'blue red'), (21, null), (23, 'nowhere')) t(query_id, query_text)",
     "catalog_records": "select i::bigint as id, i || '.md' as relative_path, '/' || i || '.md' as absolute_path, 'extracted' as status from range(1, 9) t(i)",
@@ -44,7 +44,7 @@ FEW = {
 }
 
 
-@pytest.mark.parametrize("name, want", [("best_chunk_per_file", {(1, 1), (7, 3), (8, 3), (19, 1), (20, 1)})])
+@pytest.mark.parametrize("name, want", [("best_chunk_per_file", {(1, 1), (7, 3), (8, 3), (19, 1), (20, 1)}), ("cross_chunk_intersect", {(1, 1), (1, 2), (8, 3), (19, 1), (19, 2), (20, 1), (20, 2)})])
 def test_all_questions_are_asked(spark, tmp_path, name, want):
     con = duckdb.connect()
     for table, rows in FEW.items():
